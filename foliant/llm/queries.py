@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import quality
+from foliant.llm import line_dedup, quality, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_line_dedup": line_dedup.query,
+        "op4_url_filters": url_filter.query,
         "op9_quality_rules": quality.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_line_dedup": line_dedup.SQL,
+        "op4_url_filters": url_filter.SQL,
+    }
