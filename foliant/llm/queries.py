@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import line_dedup, quality, url_filter
+from foliant.llm import line_dedup, quality, secrets, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op3_line_dedup": line_dedup.query,
         "op4_url_filters": url_filter.query,
+        "op8_secret_scans": secrets.query,
         "op9_quality_rules": quality.query,
     }
 
