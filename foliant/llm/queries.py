@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import bpe, line_dedup, quality, secrets, url_filter
+from foliant.llm import bpe, line_dedup, quality, secrets, token_files, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op4_url_filters": url_filter.query,
         "op8_secret_scans": secrets.query,
         "op9_quality_rules": quality.query,
+        "op10_token_files": token_files.query,
     }
 
 
