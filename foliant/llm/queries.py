@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import bpe, line_dedup, quality, secrets, token_files, url_filter
+from foliant.llm import bpe, html_extract, line_dedup, quality, secrets, token_files, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_html_extraction": html_extract.query,
         "op2_bpe": bpe.query,
         "op3_line_dedup": line_dedup.query,
         "op4_url_filters": url_filter.query,
@@ -24,6 +25,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_html_extraction": html_extract.query,
         "op2_bpe": bpe.query,
         "op3_line_dedup": line_dedup.SQL,
         "op4_url_filters": url_filter.SQL,
