@@ -56,3 +56,10 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, pa.Array]
 def id_and_text(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the two columns an operator needs, under fixed names; a null text becomes empty."""
     return df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """written(), after which the shuffle files behind df can go: the JVM frees them when it collects its garbage."""
+    out = written(df, name)
+    out.sparkSession._jvm.System.gc()
+    return out

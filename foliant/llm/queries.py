@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import bpe, decontam, html_extract, line_dedup, quality, secrets, token_files, url_filter
+from foliant.llm import bpe, decontam, html_extract, line_dedup, ngram_join, quality, secrets, token_files, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op2_bpe": bpe.query,
         "op3_line_dedup": line_dedup.query,
         "op4_url_filters": url_filter.query,
+        "op5_ngram_jaccard": ngram_join.query,
         "op6_decontamination": decontam.query,
         "op8_secret_scans": secrets.query,
         "op9_quality_rules": quality.query,

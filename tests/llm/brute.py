@@ -50,3 +50,37 @@ def quality(text: str | None) -> tuple[int, int, int, int, int, bool]:
     lines = [x for x in text.split("\n") if words(x)]
     failed = len(w) < 20 or 100 * len(covered) > 30 * len(w)
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered), failed
+
+
+def shingle_set(text: str | None) -> set[tuple[str, ...]]:
+    w = words(lower(text or ""))
+    if not w:
+        return set()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
+
+
+def jaccard_components(docs: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:
+    """doc_id -> (n_shingles, component_id), comparing all pairs that share a shingle."""
+    sets = {k: shingle_set(t) for k, t in docs}
+    root = {k: k for k in sets}
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    at: dict[tuple[str, ...], list[int]] = {}
+    for k, s in sets.items():
+        for g in s:
+            at.setdefault(g, []).append(k)
+    shared: dict[tuple[int, int], int] = {}
+    for ks in at.values():
+        for i, a in enumerate(ks):
+            for b in ks[i + 1 :]:
+                shared[a, b] = shared.get((a, b), 0) + 1
+    for (a, b), n in shared.items():
+        if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {k: (len(s), find(k)) for k, s in sets.items()}
