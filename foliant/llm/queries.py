@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import bpe, decontam, html_extract, line_dedup, ngram_join, quality, secrets, token_files, url_filter
+from foliant.llm import bpe, decontam, html_extract, line_dedup, ngram_join, quality, secrets, substring_dedup, token_files, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op4_url_filters": url_filter.query,
         "op5_ngram_jaccard": ngram_join.query,
         "op6_decontamination": decontam.query,
+        "op7_substring_dedup": substring_dedup.query,
         "op8_secret_scans": secrets.query,
         "op9_quality_rules": quality.query,
         "op10_token_files": token_files.query,

@@ -84,3 +84,19 @@ def jaccard_components(docs: list[tuple[int, str | None]]) -> dict[int, tuple[in
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     return {k: (len(s), find(k)) for k, s in sets.items()}
+
+
+def substring_dedup(docs: list[tuple[int, str | None]], window: int = 50) -> dict[int, tuple[int, int, str]]:
+    """doc_id -> (n_words, n_removed, digest of the kept words)."""
+    first: dict[tuple[str, ...], int] = {}
+    for k, text in docs:
+        w = words(text)
+        for i in range(len(w) - window + 1):
+            g = tuple(w[i : i + window])
+            first[g] = min(first.get(g, k), k)
+    out = {}
+    for k, text in docs:
+        w = words(text)
+        lost = {i + j for i in range(len(w) - window + 1) if first[tuple(w[i : i + window])] < k for j in range(window)}
+        out[k] = (len(w), len(lost), sha(" ".join(x for i, x in enumerate(w) if i not in lost)))
+    return out
