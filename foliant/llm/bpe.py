@@ -372,18 +372,21 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, path: str | None = None) -> DataFrame:
-    """docs with n_tokens and ids added (any columns of those names replaced)."""
+    """docs with n_tokens, ids and round_trip (the ids decode to the text); columns of those names are replaced."""
     path = path or default_path()
-    base = docs.drop("n_tokens", "ids").withColumn("n_tokens", F.lit(None).cast("long")).withColumn("ids", F.lit(None).cast("array<int>"))
+    base = docs.drop("n_tokens", "ids", "round_trip")
+    schema = base.withColumns({"n_tokens": F.lit(None).cast("long"), "ids": F.lit(None).cast("array<int>"), "round_trip": F.lit(None).cast("boolean")}).schema
 
     def run(batches):
         enc = encoder(path)
         for batch in batches:
             names = batch.schema.names
-            packed = [enc.encode(x or "") for x in batch.column(names.index("text")).to_pylist()]
+            texts = [x or "" for x in batch.column(names.index("text")).to_pylist()]
+            packed = [enc.encode(x) for x in texts]
             cols = {n: batch.column(k) for k, n in enumerate(names)}
             cols["n_tokens"] = pa.array([len(x) // 4 for x in packed], pa.int64())
             cols["ids"] = pa.array([unpack(x) for x in packed], pa.list_(pa.int32()))
+            cols["round_trip"] = pa.array([decode(enc, x) == t for x, t in zip(packed, texts, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_pydict(cols)
 
-    return base.mapInArrow(run, base.schema)
+    return base.mapInArrow(run, schema)
