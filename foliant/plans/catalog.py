@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliant.plans import structure_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
-FLAGSHIP = "term_frequency"
+FLAGSHIP = "block_stream"
+MODULES = (structure_queries,)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in MODULES for name, sql in module.SQL.items()}
