@@ -39,11 +39,10 @@ def html_escaped(x: Column) -> Column:
 
 
 def inline_html(x: Column) -> Column:
-    """Inline marks of escaped Markdown as HTML."""
-    x = F.regexp_replace(html_escaped(x), r"\*\*\*(.+?)\*\*\*", "<strong><em>$1</em></strong>")
-    x = F.regexp_replace(x, r"\*\*(.+?)\*\*", "<strong>$1</strong>")
-    x = F.regexp_replace(x, r"\*(.+?)\*", "<em>$1</em>")
-    return F.regexp_replace(x, r"`(.+?)`", "<code>$1</code>")
+    """Inline marks of Markdown as HTML, after escaping."""
+    x = F.regexp_replace(html_escaped(x), r"(?s)\*\*(.+?)\*\*", "<strong>$1</strong>")
+    x = F.regexp_replace(x, r"(?s)\*(.+?)\*", "<em>$1</em>")
+    return F.regexp_replace(x, r"(?s)`(.+?)`", "<code>$1</code>")
 
 
 def safe_name(x: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from foliant.operators import blocks as B
@@ -19,7 +20,8 @@ def blocks(spark, sf_dir):
 
 
 def typed(spark, sf_dir):
-    return B.retype(blocks(spark, sf_dir))
+    """Typed blocks, kept while a query runs: scores and roll-ups read them several times."""
+    return B.retype(blocks(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def sectioned(spark, sf_dir):
