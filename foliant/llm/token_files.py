@@ -31,6 +31,7 @@ entries, in order of their text's digest; an empty table gives no shards and no
 from __future__ import annotations
 
 import bisect
+import os
 import re
 import struct
 import zlib
@@ -39,6 +40,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 from pyspark import TaskContext
@@ -51,7 +53,7 @@ MAGIC = b"FOLSST01"
 FOOTER = struct.Struct("<QQQQQQB7x8s")
 BLOCK_BYTES = 1 << 16
 BLOOM_BITS, BLOOM_HASHES = 10, 7
-CACHE_ENTRIES, CACHED_CHARS = 400_000, 48
+CACHE_ENTRIES, CACHED_CHARS = 150_000, 48
 END_ID = 1
 
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -202,42 +204,62 @@ class Table:
 
 
 class WordEncoder:
-    """The library's ids of whole texts, with a bounded cache of pre-tokens."""
+    """The library's ids of whole texts, with a bounded cache of pre-tokens (two generations)."""
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.width = 2 if self.lib.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        vocab = self.lib.get_vocab(with_added_tokens=True)
+        self.width = 2 if max(vocab.values()) < 1 << 16 else 4
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)  # the ids that end a pre-token
+        self.ends[[k for token, k in vocab.items() if token.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """The packed ids of pre-tokens: encoded as one text and cut where ids end a pre-token."""
+        out = {}
+        for at in range(0, len(pieces), 5000):
+            part = pieces[at : at + 5000]
+            ids = self._whole(" ".join(part))
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part):
+                out |= {x: self._whole(x).tobytes() for x in part}
+                continue
+            raw, start = ids.tobytes(), 0
+            for x, stop in zip(part, (4 * stops).tolist(), strict=True):
+                out[x] = raw[start:stop]
+                start = stop
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
-        split, missing = {}, set()
+        split = {}
         for k, text in enumerate(texts):
             if _UNUSUAL.search(text) or any(x in text for x in self.special):
-                out[k] = np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32)
+                out[k] = self._whole(text)
             else:
                 split[k] = _FAST.findall(text.lower())
-                missing.update(split[k])
-        missing.difference_update(self.cache)
-        if len(self.cache) + len(missing) > CACHE_ENTRIES:
-            self.cache.clear()
-            missing = {x for words in split.values() for x in words}
-        names = list(missing)
-        for at in range(0, len(names), 10_000):
-            part = names[at : at + 10_000]
-            for name, found in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[name] = np.array(found.ids, np.uint32).tobytes()
-        get = self.cache.__getitem__
+        cache, old = self.cache, self.old
+        unknown = set().union(*split.values()).difference(cache)
+        if again := unknown.intersection(old):
+            cache.update((x, old[x]) for x in again)
+        cache.update(self._learn(list(unknown.difference(again))))
         for k, words in split.items():
-            out[k] = np.frombuffer(b"".join(map(get, words)), np.uint32)
-        for name in names:
-            if len(name) > CACHED_CHARS:
-                self.cache.pop(name, None)
+            out[k] = np.frombuffer(b"".join(map(cache.__getitem__, words)), np.uint32)
+        for x in unknown:
+            if len(x) > CACHED_CHARS:
+                del cache[x]
+        if len(cache) > CACHE_ENTRIES:
+            self.old, self.cache = cache, {}
         return out
 
 
@@ -246,16 +268,14 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def _groups(texts: list[str], chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Slices of a batch of so many characters or one text."""
-    start = size = 0
-    for k, text in enumerate(texts):
-        if size and size + len(text) > chars:
-            yield start, k
-            start, size = k, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+def _groups(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Slices of a batch of about so many bytes, or one text."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(ends):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, side="right")))
+        yield start, stop
+        start = stop
 
 
 def write_shards(docs: DataFrame, path: str, folder: str, shards: int | None = None, end_id: int | None = END_ID) -> list[dict]:
@@ -277,9 +297,9 @@ def write_shards(docs: DataFrame, path: str, folder: str, shards: int | None = N
             if writer is None and batch.num_rows:
                 fs.create_dir(root, recursive=True)
                 writer = Writer(fs.open_output_stream(own), enc.width)
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for start, end in _groups(texts):
-                for doc, found in zip(ids[start:end], enc.encode(texts[start:end]), strict=True):
+            for start, end in _groups(batch.column(1)):
+                ids, texts = (batch.column(k).slice(start, end - start).to_pylist() for k in (0, 1))
+                for doc, found in zip(ids, enc.encode(texts), strict=True):
                     writer.add(key_bytes(doc), np.concatenate([found, tail]))
         if writer is not None:
             writer.close()
@@ -304,7 +324,7 @@ def read_shards(spark: SparkSession, shards: list[dict]) -> DataFrame:
                 for doc, before, ids in Table(uri).scan():
                     part.append((doc, base + before, ids))
                     size += len(ids)
-                    if size >= 1 << 20:
+                    if size >= 1 << 18:
                         yield _rows(part)
                         part, size = [], 0
                 if part:
