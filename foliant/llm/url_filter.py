@@ -86,7 +86,7 @@ def places(key: Column, bits: int, hashes: int, seed: int) -> list[Column]:
 
 
 def holds(level: Level, key: Column) -> Column:
-    words = F.array(*[F.lit(w) for w in level.words])
+    words = F.array(*[F.lit(w) for w in level.words]).cast("array<long>")
     found = F.lit(True)
     for at in places(key, level.bits, level.hashes, level.seed):
         word = F.element_at(words, (at / BITS).cast("int") + 1)
