@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -59,7 +60,11 @@ def id_and_text(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
-    """written(), after which the shuffle files behind df can go: the JVM frees them when it collects its garbage."""
-    out = written(df, name)
-    out.sparkSession._jvm.System.gc()
-    return out
+    """written(), before which the shuffle files of earlier steps can go.
+
+    The JVM deletes the files of shuffles that nothing refers to when it collects its
+    garbage; long chains of written tables would otherwise keep all of them on disk.
+    """
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return written(df, name)

@@ -9,9 +9,9 @@ one shard, and neighbouring windows with one minimizer travel as one segment.
 2. Segments with equal digests are one; the smallest document id owns it. Only owners give
    words, so exact copies cost nothing.
 3. Where a minimizer has more than ``hot`` different segments (a passage amid ever different
-   text), its windows are first counted one by one and segments are trimmed to windows that
-   occur in two documents at least, which again collapses them; so no shard holds more than
-   its distinct repeated text.
+   text), the windows of these are first counted one by one and the segments trimmed to
+   windows that two documents at least have, which again collapses them; so no shard holds
+   more than its distinct repeated text.
 4. A shard's distinct segments are indexed: suffix array, BWT, wavelet matrix. Segments are
    streamed through backward search, whose interval at each place is cut to ``window`` words:
    the matching statistics that reach the threshold, with the smallest document id of each
@@ -45,7 +45,7 @@ _POWERS = [pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(64)]
 class Config:
     window: int = 50
     gram: int = 8
-    hot: int = 256
+    hot: int = 16  # different segments of a minimizer from which they are trimmed first
     longest: int = 256  # windows in a segment
     shard_words: int = 250_000
 
@@ -112,70 +112,65 @@ def segments(docs: DataFrame, config: Config) -> DataFrame:
     return arrow_map(docs.where("doc_id IS NOT NULL"), each, SEGMENT)
 
 
-def _trimmed(docs: DataFrame, hot: DataFrame, config: Config) -> DataFrame:
-    """Segments of the hot minimizers, cut to windows that two documents at least have."""
-    wanted = settled(hot.groupBy("doc_id").agg(F.collect_set("v").alias("vs")), "hot-documents")
-    schema = "w binary, v long, doc_id long, start int"
+OWNED = "v long, sig binary, owner long, last long, body binary"
 
-    def windows(batch: pa.RecordBatch) -> dict[str, pa.Array] | None:
-        rows = []
-        for doc, text, vs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            codes = word_codes(text.encode().split())
-            if len(codes) < config.window:
-                continue
-            v = minimizers(codes, config).view(np.int64)
-            rows += [(_digest(codes, a, 1, config), int(v[a]), doc, a) for a in np.flatnonzero(np.isin(v, np.array(vs, np.int64))).tolist()]
-        return _columns(schema, rows)
 
-    each = settled(arrow_map(docs.join(wanted, "doc_id").select("doc_id", "text", "vs"), windows, schema), "hot-windows")
-    often = settled(each.groupBy("w").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("w"), "hot-repeated")
-    places = settled(each.join(often, "w", "left_semi").groupBy("doc_id").agg(F.collect_set("start").alias("places")), "hot-places")
+def _owned_words(docs: DataFrame, owners: DataFrame, config: Config) -> DataFrame:
+    """(v, sig, owner, last, body): the words of every distinct segment, from its owner's text."""
+    wanted = owners.groupBy("doc_id").agg(F.collect_list(F.struct("v", "sig", "start", "windows", "last")).alias("own"))
 
-    def cut(batch: pa.RecordBatch) -> dict[str, pa.Array] | None:
+    def each(batch: pa.RecordBatch) -> dict[str, pa.Array] | None:
         rows = []
-        for doc, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            codes = word_codes(text.encode().split())
-            if len(codes) < config.window:
-                continue
-            v = minimizers(codes, config).view(np.int64)
-            at = np.sort(np.array([x for x in found if x < len(v)], np.int64))
-            # neighbouring places of one minimizer make a segment
-            breaks = np.flatnonzero((np.diff(at) != 1) | (np.diff(v[at]) != 0)) + 1
-            for part in np.split(at, breaks):
-                for k in range(0, len(part), config.longest):
-                    a, n = int(part[k]), min(config.longest, len(part) - k)
-                    rows.append((int(v[a]), _digest(codes, a, n, config), doc, a, n))
-        return _columns(SEGMENT, rows)
+        for doc, text, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            words = text.encode().split()
+            codes = word_codes(words)
+            for x in own:
+                if _digest(codes, x["start"], x["windows"], config) == x["sig"]:  # else another row of that id has it
+                    rows.append((x["v"], x["sig"], doc, x["last"], b" ".join(words[x["start"] : x["start"] + x["windows"] + config.window - 1])))
+        return _columns(OWNED, rows)
 
-    return arrow_map(docs.join(places, "doc_id").select("doc_id", "text", "places"), cut, SEGMENT)
+    return arrow_map(docs.join(settled(wanted, "segment-owners"), "doc_id").select("doc_id", "text", "own"), each, OWNED)
 
 
-def _owned_words(docs: DataFrame, owners: DataFrame, config: Config) -> DataFrame:
-    """(v, sig, owner, codes): the word codes of every distinct segment, from its owner's text."""
-    wanted = owners.groupBy("doc_id").agg(F.collect_list(F.struct("v", "sig", "start", "windows")).alias("own"))
-    schema = "v long, sig binary, owner long, codes binary"
+PIECE = "v long, sig binary, offset int, piece binary, owner long, body binary"
 
-    def each(batch: pa.RecordBatch) -> dict[str, pa.Array] | None:
+
+def _trimmed(owned: DataFrame, config: Config) -> DataFrame:
+    """Distinct segments of hot minimizers as pieces: stretches of windows that two documents at least have."""
+    schema = "w binary, v long, sig binary, at int, owner long, last long"
+
+    def windows(batch: pa.RecordBatch) -> dict[str, pa.Array] | None:
         rows = []
-        for doc, text, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            codes = word_codes(text.encode().split())
-            for x in own:
-                part = codes[x["start"] : x["start"] + x["windows"] + config.window - 1].tobytes()
-                if xxhash.xxh3_128_digest(part) == x["sig"]:  # else another row of that id has it
-                    rows.append((x["v"], x["sig"], doc, part))
+        for v, sig, owner, last, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            codes = word_codes(body.split())
+            rows += [(_digest(codes, k, 1, config), v, sig, k, owner, last) for k in range(len(codes) - config.window + 1)]
         return _columns(schema, rows)
 
-    return arrow_map(docs.join(settled(wanted, "segment-owners"), "doc_id").select("doc_id", "text", "own"), each, schema)
+    each = settled(arrow_map(owned, windows, schema), "hot-windows")
+    often = settled(each.groupBy("w").agg(F.min("owner").alias("a"), F.max("last").alias("b")).where("a <> b").select("w"), "hot-repeated")
+    places = settled(each.join(often, "w", "left_semi").groupBy("v", "sig").agg(F.collect_list("at").alias("places")), "hot-places")
+
+    def cut(batch: pa.RecordBatch) -> dict[str, pa.Array] | None:
+        rows = []
+        for v, sig, owner, body, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            words, at = body.split(), np.sort(np.array(found, np.int64))
+            codes = word_codes(words)
+            for part in np.split(at, np.flatnonzero(np.diff(at) != 1) + 1):
+                a, n = int(part[0]), len(part)
+                rows.append((v, sig, a, _digest(codes, a, n, config), owner, b" ".join(words[a : a + n + config.window - 1])))
+        return _columns(PIECE, rows)
+
+    return arrow_map(owned.join(places, ["v", "sig"]).select("v", "sig", "owner", "body", "places"), cut, PIECE)
 
 
 FOUND = "v long, sig binary, offset int, length int, smallest long"
 
 
 def _searched(words: DataFrame, config: Config) -> DataFrame:
-    """Stretches of windows (offset, length) of each distinct segment and the smallest document that has them."""
+    """(v, sig, owner, body) to stretches of windows (offset, length) of each segment and the smallest document that has them."""
 
     def flush(part: list[tuple]) -> pa.RecordBatch:
-        index = FMIndex([np.frombuffer(c, np.uint64) for _, _, _, c in part], [o for _, _, o, _ in part], config.window)
+        index = FMIndex([word_codes(body.split()) for _, _, _, body in part], [o for _, _, o, _ in part], config.window)
         rows = []
         for (v, sig, _, _), smallest in zip(part, index.smallest_owner(), strict=True):
             edges = np.concatenate([[0], np.flatnonzero(smallest[1:] != smallest[:-1]) + 1, [len(smallest)]]).tolist()
@@ -191,13 +186,13 @@ def _searched(words: DataFrame, config: Config) -> DataFrame:
                     yield flush(part)
                     part, size = [], 0
                 part.append(row)
-                size += len(row[3]) // 8
+                size += row[3].count(b" ") + 1
                 last = row[0]
         if part:
             yield flush(part)
 
     n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sharded = words.repartition(n, "v").sortWithinPartitions("v", "owner", "sig").select("v", "sig", "owner", "codes")
+    sharded = words.select("v", "sig", "owner", "body").repartition(n, "v").sortWithinPartitions("v", "owner", "sig")
     return sharded.mapInArrow(run, FOUND)
 
 
@@ -206,15 +201,16 @@ def repeated_spans(docs: DataFrame, config: Config = Config()) -> DataFrame:
     all_segments = settled(segments(docs, config), "segments")
     often = settled(all_segments.groupBy("v").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("v"), "minimizers")
     some = settled(all_segments.join(often, "v", "left_semi"), "repeated-segments")
-    owner = F.min(F.struct("doc_id", "start", "windows")).alias("o")
-    owners = settled(some.groupBy("v", "sig").agg(owner).select("v", "sig", "o.*"), "owners")
+    first = F.min(F.struct("doc_id", "start", "windows")).alias("o")
+    owners = settled(some.groupBy("v", "sig").agg(first, F.max("doc_id").alias("last")).select("v", "sig", "o.*", "last"), "owners")
     hot = settled(owners.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > config.hot).select("v"), "hot")
-    if hot.limit(1).count():
-        cut = settled(_trimmed(docs, some.join(hot, "v", "left_semi").select("v", "doc_id"), config), "trimmed")
-        some = some.join(hot, "v", "left_anti").unionByName(cut)
-        cut_owners = cut.groupBy("v", "sig").agg(owner).select("v", "sig", "o.*")
-        owners = owners.join(hot, "v", "left_anti").unionByName(cut_owners)
-    found = settled(_searched(_owned_words(docs, owners, config), config), "found")
+    owned = settled(_owned_words(docs, owners, config), "owned")
+    found = _searched(owned.join(hot, "v", "left_anti"), config)
+    pieces = settled(_trimmed(owned.join(hot, "v", "left_semi"), config), "pieces")
+    once = pieces.groupBy("v", "piece").agg(F.min(F.struct("owner", "body")).alias("o")).select("v", F.col("piece").alias("sig"), "o.owner", "o.body")
+    inner = settled(_searched(once, config), "found-pieces").withColumnsRenamed({"sig": "piece", "offset": "inner"})
+    cut = pieces.select("v", "sig", "offset", "piece").join(inner, ["v", "piece"]).select("v", "sig", (F.col("offset") + F.col("inner")).alias("offset"), "length", "smallest")
+    found = settled(found.unionByName(cut), "found")
     hits = some.join(found, ["v", "sig"]).where("smallest < doc_id")
     return hits.select("doc_id", (F.col("start") + F.col("offset")).alias("start"), F.col("length").alias("windows"))
 
