@@ -28,8 +28,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op1_html_extraction": html_extract.query,
-        "op2_bpe": bpe.query,
         "op3_line_dedup": line_dedup.SQL,
         "op4_url_filters": url_filter.SQL,
     }
