@@ -43,3 +43,8 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_names():
+    assert all(isinstance(x, str) for x in entry.oracle_sql().values())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
