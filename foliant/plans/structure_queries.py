@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foliant.operators import blocks as B
 from foliant.operators import lines as L
 from foliant.plans.corpus import corpus
-from foliant.plans.oracle import over_corpus
+from foliant.plans.oracle import WS, over_corpus, q, rx, words
 
 
 def lines(spark, sf_dir):
@@ -125,3 +125,26 @@ SQL = {
     ),
     "fence_blocks": over_corpus(" SELECT doc_id, count(*) FILTER (is_fence) AS fences, count(*) FILTER (in_code) AS code_lines FROM classed GROUP BY doc_id", False),
 }
+
+
+def _size(x: str) -> str:
+    return f"len({words(x)})"
+
+
+_LABEL, _REST = f"trim(regexp_extract(line, {q(L.COLON_LABEL)}, 1), {WS})", f"trim(regexp_extract(line, {q(L.COLON_LABEL)}, 2), {WS})"
+_TITLED = "len(list_filter(regexp_split_to_array(line, '\\s+'), lambda w: regexp_matches(w, '^\\p{L}') AND NOT regexp_matches(w, '^\\p{Lu}'))) = 0"
+_LETTERS = f"trim(regexp_replace(line, '[^a-zA-Z\\s]', '', 'g'), {WS})"
+_CAPS = f"({_LETTERS} <> '' AND {_LETTERS} = upper({_LETTERS}) AND length(line) <= 60 AND {_size('line')} <= 8)"
+_SHORT = f"(length(line) <= short_limit AND after_blank AND {_TITLED})"
+SQL["raw_classes"] = over_corpus(
+    f""" , st AS (SELECT doc_id, least(greatest(floor(coalesce(avg(length(line)) FILTER (line <> ''), 0) * 0.45), 15), 60) AS short_limit FROM lines GROUP BY doc_id),
+    ln AS (SELECT l.*, st.short_limit, coalesce(lag(line) OVER (PARTITION BY l.doc_id ORDER BY line_no), '') = '' AS after_blank FROM lines l JOIN st ON st.doc_id = l.doc_id)
+    SELECT doc_id, line_no, CASE WHEN line = '' THEN 'blank' {' '.join(f"WHEN {rx('line', p)} THEN '{n}'" for n, p in L.RAW_RULES)}
+    WHEN {_CAPS} AND {_size('line')} <= 3 THEN 'h1' WHEN {_CAPS} THEN 'h2'
+    WHEN {rx('line', L.COLON_LABEL)} AND ({rx(_LABEL, L.HEADING_WORDS)} OR ({_size(_LABEL)} <= 4 AND {_REST} = '')) THEN 'h2'
+    WHEN {rx('line', L.COLON_LABEL)} AND {_size(_LABEL)} <= 3 AND length({_REST}) > 15 THEN 'definition' WHEN {rx('line', L.COLON_LABEL)} AND {_size(_LABEL)} <= 5 AND {_REST} = '' THEN 'h3'
+    WHEN {_SHORT} AND {_size('line')} <= 3 THEN 'h3_entity' WHEN {_SHORT} AND {_size('line')} <= 5 THEN 'h2' WHEN {rx('line', L.HEADING_WORDS)} AND {_size('line')} <= 4 THEN 'h2'
+    WHEN contains(line, chr(9)) OR ({rx('line', ' {4,}')} AND {_size('line')} >= 3) THEN 'table_row'
+    WHEN {rx('line', L.RAW_DEFINITION)} AND {_size(f"regexp_extract(line, {q(L.RAW_DEFINITION)}, 1)")} <= 3 THEN 'definition' ELSE 'para' END AS tag FROM ln""",
+    False,
+)
