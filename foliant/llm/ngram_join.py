@@ -11,7 +11,8 @@ least 0.8 share a token among the first n - ceil(0.8 n) + 1 of either, so only t
 prefixes are joined, and words or passages that a large part of the corpus shares come last
 in the order and hardly ever lie in one.
 
-Groups. Tokens that only one representative has are dropped. Then, in rounds, every group
+Groups. Tokens that only one representative has are dropped, and tokens that the same
+representatives have become one. Then, in rounds, every group
 (first a single document) is compared with the group it shares most prefix tokens with
 among the smallest ones of its tokens: one pair of documents each. Verified pairs merge, so
 after a few rounds similar documents share a group, and a token whose documents all lie in
@@ -168,6 +169,14 @@ def _sizes_fit(n: str, m: str, percent: int):
     return (100 * F.col(n) >= percent * F.col(m)) & (100 * F.col(m) >= percent * F.col(n))
 
 
+def _reaches(size: str, at, n, m, percent: int):
+    """Whether a set's tokens from a position on can make up the overlap that sizes n and m need.
+
+    Of two similar sets the first shared token stands so far in front in both.
+    """
+    return (F.col(size) - at) * (100 + percent) >= percent * (n + m)
+
+
 def _roots(parents: DataFrame) -> DataFrame:
     """(comp, root) where each comp points at a smaller one; chains are halved until none is left."""
     now = settled(parents, "parents")
@@ -201,8 +210,13 @@ def _merge(rows: DataFrame, own: DataFrame, classes: DataFrame, config: Config)
     reps = classes.select(F.col("rep").alias("doc_id"), "sig")
     prefixes = own.join(reps, ["doc_id", "sig"], "left_semi")
     tokens = prefixes.select(F.col("doc_id").alias("x"), "n", F.posexplode("prefix").alias("at", "t"))
-    shared = settled(tokens.groupBy("t").agg(F.min("x").alias("a"), F.max("x").alias("b")).where("a <> b").select("t"), "shared-tokens")
-    tokens = settled(tokens.join(shared, "t", "left_semi").select("t", "x", "n", "at"), "tokens")
+    # Tokens of the same documents say the same about pairs, so they become one token, named by
+    # their documents, with the smallest position; names that collide only add candidates.
+    who = F.sum(F.xxhash64("x").bitwiseAND(F.lit(0x7FFFFFFF)))
+    shared = tokens.groupBy("t").agg(F.min("x").alias("a"), F.max("x").alias("b"), who.alias("s"), F.count("*").alias("c")).where("a <> b")
+    shared = settled(shared.select("t", F.xxhash64("a", "b", "s", "c").alias("name")), "shared-tokens")
+    named = tokens.join(shared, "t").groupBy("name", "x").agg(F.min("n").alias("n"), F.min("at").alias("at"), F.count("*").alias("weight"))
+    tokens = settled(named.withColumnRenamed("name", "t"), "tokens")
     if not tokens.limit(1).count():
         return None
     members = tokens.select(F.col("x").alias("doc_id")).distinct()
@@ -212,24 +226,27 @@ def _merge(rows: DataFrame, own: DataFrame, classes: DataFrame, config: Config)
     def labelled() -> DataFrame:
         if comps is None:
             return tokens.withColumn("comp", F.col("x"))
-        return tokens.join(comps.select(F.col("node").alias("x"), "root"), "x", "left").select("t", "x", "n", "at", F.coalesce("root", "x").alias("comp"))
+        return tokens.join(comps.select(F.col("node").alias("x"), "root"), "x", "left").select("t", "x", "n", "at", "weight", F.coalesce("root", "x").alias("comp"))
 
-    def open_tokens(now: DataFrame) -> DataFrame:
-        """The smallest group of each token that several groups have."""
-        lead = now.groupBy("t").agg(F.min(F.struct("comp", "x", "n")).alias("lead"), F.max("comp").alias("last")).where("lead.comp <> last")
-        return settled(lead.select("t", F.col("lead.comp").alias("to"), F.col("lead.x").alias("y"), F.col("lead.n").alias("m")), "leads")
+    def open_tokens(now: DataFrame, k: int) -> DataFrame:
+        """The tokens that several groups have, with the smallest group of each (in odd rounds the largest)."""
+        pick = F.max if k % 2 else F.min
+        lead = now.groupBy("t").agg(pick(F.struct("comp", "x", "n", "at")).alias("lead"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b")
+        return settled(lead.select("t", F.col("lead.comp").alias("to"), F.col("lead.x").alias("y"), F.col("lead.n").alias("m"), F.col("lead.at").alias("to_at")), "leads")
 
     for k in range(config.rounds):
         now = labelled() if k == 0 else settled(labelled(), "labelled")
-        lead = open_tokens(now)
-        votes = now.join(lead, "t").where("comp <> to").where(_sizes_fit("n", "m", config.percent)).groupBy("comp", "to", "x", "y").agg(F.count("*").alias("votes"))
+        lead = open_tokens(now, k)
+        n, m = F.col("n"), F.col("m")
+        fits = _sizes_fit("n", "m", config.percent) & _reaches("n", F.col("at"), n, m, config.percent) & _reaches("m", F.col("to_at"), n, m, config.percent)
+        votes = now.join(lead, "t").where("comp <> to").where(fits).groupBy("comp", "to", "x", "y").agg(F.sum("weight").alias("votes"))
         best = votes.groupBy("comp").agg(F.max(F.struct("votes", "to", "x", "y")).alias("best"))
         pairs = settled(best.select("comp", "best.to", "best.x", "best.y"), "pairs")
         found = verified(pairs.select("x", "y"), texts, config)
         parents = pairs.join(found, ["x", "y"], "left_semi").select("comp", "to")
         roots = _roots(parents)
         if not roots.limit(1).count():
-            tokens = settled(now.join(lead.select("t"), "t", "left_semi").select("t", "x", "n", "at"), "tokens")
+            tokens = settled(now.join(lead.select("t"), "t", "left_semi").select("t", "x", "n", "at", "weight"), "tokens")
             break
         if comps is None:
             comps = settled(roots.select(F.col("comp").alias("node"), "root"), "components")
@@ -237,10 +254,10 @@ def _merge(rows: DataFrame, own: DataFrame, classes: DataFrame, config: Config)
             old = comps.withColumnRenamed("root", "comp").join(roots, "comp", "left").select("node", F.coalesce("root", "comp").alias("root"))
             fresh = roots.join(comps.select(F.col("node").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("node"), "root")
             comps = settled(old.unionByName(fresh), "components")
-        tokens = settled(now.join(lead.select("t"), "t", "left_semi").select("t", "x", "n", "at"), "tokens")
+        tokens = settled(now.join(lead.select("t"), "t", "left_semi").select("t", "x", "n", "at", "weight"), "tokens")
 
     now = settled(labelled(), "labelled")
-    pairs = _opened(now, open_tokens(now), config)
+    pairs = _opened(now, open_tokens(now, 0), config)
     found = settled(verified(pairs, texts, config), "links")
     edges = found.select(F.col("x").alias("a"), F.col("y").alias("b"))
     if comps is not None:
@@ -252,22 +269,19 @@ def _opened(now: DataFrame, lead: DataFrame, config: Config) -> DataFrame:
     """Pairs (x, y) of different groups that the token-group matrix cannot rule out.
 
     Of two groups the one with the larger label asks; a member is compared if sizes fit and
-    the tokens behind the shared one can still make up the overlap.
+    the tokens from the shared one on can still make up the overlap. The first shared token
+    of a similar pair passes every bound, so no such pair is lost.
     """
     rest = settled(now.join(lead.select("t"), "t", "left_semi"), "matrix-tokens")
     matrix = rest.groupBy("t", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("at").alias("first"))
     matrix = settled(matrix.withColumnRenamed("comp", "to"), "matrix")
-    asked = rest.join(matrix, "t").where("comp > to")
-    sizes = (100 * F.col("high") >= config.percent * F.col("n")) & (config.percent * F.col("low") <= 100 * F.col("n"))
-    # tokens before the first shared one are not shared, so at most n - at and high - first are
-    reach = F.least(F.col("n") - F.col("at"), F.col("high") - F.col("first"))
-    groups = asked.where(sizes).where(100 * reach >= config.percent * F.greatest("n", "low"))
-    hits = groups.select("t", "to", "x", "n", "at")
+    n, m, p = F.col("n"), F.col("m"), config.percent
+    # every member has a size of low at least, so the overlap that it needs is bounded from below
+    qualifies = (100 * F.col("high") >= p * n) & (p * F.col("low") <= 100 * n) & _reaches("n", F.col("at"), n, F.col("low"), p) & _reaches("high", F.col("first"), n, F.col("low"), p)
+    hits = rest.join(matrix, "t").where(F.col("comp") > F.col("to")).where(qualifies).select("t", "to", "x", "n", "at")
     inside = rest.select("t", F.col("comp").alias("to"), F.col("x").alias("y"), F.col("n").alias("m"), F.col("at").alias("to_at"))
-    both = hits.join(inside, ["t", "to"]).where(_sizes_fit("n", "m", config.percent))
-    return both.groupBy("x", "y").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.min("at").alias("at"), F.min("to_at").alias("to_at")).where(
-        F.least(F.col("n") - F.col("at"), F.col("m") - F.col("to_at")) * (100 + config.percent) >= config.percent * (F.col("n") + F.col("m"))
-    ).select("x", "y")
+    fits = _sizes_fit("n", "m", p) & _reaches("n", F.col("at"), n, m, p) & _reaches("m", F.col("to_at"), n, m, p)
+    return hits.join(inside, ["t", "to"]).where(fits).select("x", "y").distinct()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
