@@ -5,8 +5,8 @@ with equal sets (equal 128-bit digests of the sorted hashes) are one class; from
 only the smallest id of each class, its representative, takes part.
 
 Order. All tokens are ordered by how frequent they are, then by hash. Frequencies come from
-a fixed-size sketch of counts over all documents (2^20 buckets, reduced to one byte each for
-the order: 1 MB to the executors, whatever the corpus). Two sets of Jaccard similarity of at
+a fixed-size sketch of counts over all documents (2^22 buckets, reduced to one byte each for
+the order: 4 MB to the executors, whatever the corpus). Two sets of Jaccard similarity of at
 least 0.8 share a token among the first n - ceil(0.8 n) + 1 of either, so only these
 prefixes are joined, and words or passages that a large part of the corpus shares come last
 in the order and hardly ever lie in one.
@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from foliant.llm.common import arrow_map, id_and_text, settled
 from foliant.llm.components import connected
 
-SKETCH_BITS, SLICES = 20, 16
+SKETCH_BITS, SLICES = 22, 16
 _POWERS = [pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(64)]
 
 
@@ -88,15 +88,17 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def token_levels(docs: DataFrame, config: Config) -> np.ndarray:
-    """One byte for each bucket of tokens: twice the log2 of its count over the mean."""
+    """One byte for each bucket of tokens: eight times the log2 of its count over the mean."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in batches:
             found = np.concatenate([shingles(text, config.words) for text in batch.column(1).to_pylist()] or [np.zeros(0, np.uint64)])
-            total += np.bincount((found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+            counts = np.bincount((found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+            np.add(total, counts, out=total, casting="unsafe")
+            del counts
         if total.any():
-            yield _slices(total.reshape(SLICES, -1), range(SLICES))
+            yield _slices(total.reshape(SLICES, -1), range(SLICES), np.int64)
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -105,7 +107,7 @@ def token_levels(docs: DataFrame, config: Config) -> np.ndarray:
                 part = np.frombuffer(zlib.decompress(raw), np.int64)
                 sums[k] = sums[k] + part if k in sums else part
         if sums:
-            yield _slices(np.stack(list(sums.values())), sums)
+            yield _slices(sums.values(), sums, np.int64)
 
     schema = "slice int, counts binary"
     parts = docs.mapInArrow(count, schema)
@@ -114,11 +116,12 @@ def token_levels(docs: DataFrame, config: Config) -> np.ndarray:
         total[r["slice"]] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
     total = total.ravel()
     mean = max(1.0, float(total.mean()))
-    return np.clip(np.floor(2 * np.log2(np.maximum(total / mean, 1))), 0, 255).astype(np.uint8)
+    return np.clip(np.floor(8 * np.log2(np.maximum(total / mean, 1))), 0, 255).astype(np.uint8)
 
 
-def _slices(counts: np.ndarray, names: Iterable[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"slice": pa.array(list(names), pa.int32()), "counts": pa.array([zlib.compress(x.tobytes(), 1) for x in counts], pa.binary())})
+def _slices(counts: Iterable[np.ndarray], names: Iterable[int], kind: type) -> pa.RecordBatch:
+    """A row for each slice of the counts, compressed."""
+    return pa.RecordBatch.from_pydict({"slice": pa.array(list(names), pa.int32()), "counts": pa.array([zlib.compress(x.astype(kind).tobytes(), 1) for x in counts], pa.binary())})
 
 
 def signatures(docs: DataFrame, levels: np.ndarray, config: Config) -> DataFrame:
