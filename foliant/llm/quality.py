@@ -4,12 +4,13 @@ A document is judged by how far its character classes and its common words lie f
 those of a language, measured by the Jensen-Shannon distance (base 2, so 0..1), with a
 guard for short texts, beside a few exact counts that act as base rules.
 
-References are additive counts over *all* documents: each Arrow batch contributes one
-fixed-size vector per language (character classes, and words hashed into WORD_BUCKETS
-buckets), and Spark sums them by (language, position). Only the sums for the
-``MAX_LANGS`` largest languages reach the driver: MAX_LANGS * (CLASSES + WORD_BUCKETS) numbers,
-whatever the corpus. A word's common bucket is one of the TOP largest of a language;
-all others share one rest bucket.
+References are additive counts over *all* documents: each Arrow batch contributes the
+counts per language (character classes, and words hashed into WORD_BUCKETS buckets), and
+Spark sums them by (language, position). A word's common bucket is one of the TOP largest of
+a language; all others share one rest bucket. So a reference is CLASSES + 2 * TOP + 1 numbers,
+and every language has one. The driver and the executors hold ``langs_per_block`` of them at a
+time; where there are more, each further block takes one more pass over the documents, which
+carries the nearest reference so far.
 
 Defined results: null or empty text has no words, fails the base rule and is not kept;
 repeated rows are judged one by one; null languages count as language ''; an empty table
@@ -20,19 +21,21 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import SPACE, arrow_map
+from foliant.llm.common import SPACE, arrow_map, forget, shared_dir, written
 
 SYMBOLS = "#*$%&|<>"
 WORD_BUCKETS = 4096
 TOP = 48
-MAX_LANGS = 32
+LANGS_PER_BLOCK = 8192
 WINDOW = 8
 MIN_WORDS_BASE = 20
 
@@ -138,65 +141,117 @@ class References:
         return float(by_char[best]), float(by_word[best])
 
 
-def fit_references(docs: DataFrame, text: str = "text", lang: str = "lang") -> References:
-    """Sum the histograms of all documents by language."""
+def fit_references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """A row for each language: the histograms of all its documents, summed and cut to the TOP buckets."""
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"))
 
     def partial(batch: pa.RecordBatch) -> dict[str, pa.Array] | None:
-        sums: dict[str, np.ndarray] = {}
-        for body, code in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            raw = body.encode()
-            if raw:
-                total = sums.setdefault(code, np.zeros(CLASSES + WORD_BUCKETS, np.int64))
+        places: dict[str, list[int]] = {}
+        for k, code in enumerate(batch.column(1).to_pylist()):
+            places.setdefault(code, []).append(k)
+        langs, ats, ns = [], [], []
+        for code, own in places.items():  # one vector at a time, whatever the number of languages
+            total = np.zeros(CLASSES + WORD_BUCKETS, np.int64)
+            for k in own:
+                raw = batch.column(0)[k].as_py().encode()
                 total[:CLASSES] += char_histogram(raw)
                 total[CLASSES:] += word_histogram(raw.lower().split())
-        if not sums:
+            at = np.flatnonzero(total)
+            langs += [code] * len(at)
+            ats.append(at)
+            ns.append(total[at])
+        if not langs:
             return None
-        return {"lang": pa.array(list(sums), pa.string()), "counts": pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))}
-
-    parts = arrow_map(rows, partial, "lang string, counts array<long>")
-    sums = parts.select("lang", F.posexplode("counts").alias("at", "n")).where("n > 0").groupBy("lang", "at").agg(F.sum("n").alias("n"))
-    by_lang = sums.groupBy("lang").agg(F.sum(F.when(F.col("at") < CLASSES, F.col("n"))).alias("size"), F.collect_list(F.struct("at", "n")).alias("counts"))
-    found = by_lang.orderBy(F.desc("size"), "lang").limit(MAX_LANGS).collect()  # MAX_LANGS fixed-size vectors
-    langs, chars, tops, words = [], [], [], []
-    for row in found:
-        counts = np.zeros(CLASSES + WORD_BUCKETS, np.int64)
-        for x in row["counts"]:
-            counts[x["at"]] = x["n"]
-        top = np.argsort(-counts[CLASSES:], kind="stable")[:TOP]
-        langs.append(row["lang"])
-        chars.append(counts[:CLASSES])
-        tops.append(top)
-        words.append(np.append(counts[CLASSES:][top], counts[CLASSES:].sum() - counts[CLASSES:][top].sum()))
-    size = len(langs)
-    return References(tuple(langs), np.array(chars).reshape(size, CLASSES), np.array(tops, np.int64).reshape(size, TOP), np.array(words).reshape(size, TOP + 1))
-
-
-def verdict(refs: References, rules: Rules, raw: bytes, n_words: int) -> tuple[bool, float | None, float | None]:
-    """Whether the distributions are those of a known language, and the two distances."""
-    if not refs.langs or len(raw) < rules.min_chars:
-        return True, None, None
-    lower = raw.lower().split()
-    by_char, by_word = refs.distances(char_histogram(raw), word_histogram(lower))
+        return {"lang": pa.array(langs, pa.string()), "at": pa.array(np.concatenate(ats), pa.int64()), "n": pa.array(np.concatenate(ns), pa.int64())}
+
+    sums = arrow_map(rows, partial, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n"))
+    is_char = F.col("at") < CLASSES
+    by_size = F.sort_array(F.collect_list(F.when(~is_char, F.struct((-F.col("n")).alias("less"), (F.col("at") - CLASSES).alias("bucket")))))
+    by_lang = sums.groupBy("lang").agg(
+        F.array(*[F.coalesce(F.sum(F.when(F.col("at") == k, F.col("n"))), F.lit(0)) for k in range(CLASSES)]).alias("chars"),
+        F.slice(by_size, 1, TOP).alias("top"),
+        F.coalesce(F.sum(F.when(~is_char, F.col("n"))), F.lit(0)).alias("words"),
+    )
+    size = F.aggregate("chars", F.lit(0).cast("long"), lambda acc, x: acc + x)
+    return by_lang.select("lang", size.alias("size"), "chars", F.col("top.bucket").alias("tops"), F.transform("top.less", lambda x: -x).alias("counts"), "words")
+
+
+def blocks(found: DataFrame, langs_per_block: int) -> Iterator[References]:
+    """All references, the largest languages first, so many at a time."""
+    rows = found.orderBy(F.desc("size"), "lang").toLocalIterator()
+    while part := list(islice(rows, langs_per_block)):
+        tops = np.zeros((len(part), TOP), np.int64)
+        words = np.zeros((len(part), TOP + 1), np.int64)
+        for k, row in enumerate(part):
+            own = row["tops"]
+            taken = set(own)
+            tops[k] = own + list(islice((x for x in range(2 * TOP) if x not in taken), TOP - len(own)))  # fewer words: empty buckets
+            words[k, : len(own)] = row["counts"]
+            words[k, TOP] = row["words"] - words[k].sum()
+        yield References(tuple(row["lang"] for row in part), np.array([row["chars"] for row in part], np.int64), tops, words)
+
+
+def nearer(refs: References | None, rules: Rules, raw: bytes, by_char: float | None, by_word: float | None) -> tuple[float | None, float | None]:
+    """The distances to the nearest language of refs, or the given ones if no language of refs is nearer."""
+    if refs is None or len(raw) < rules.min_chars:
+        return by_char, by_word
+    found = refs.distances(char_histogram(raw), word_histogram(raw.lower().split()))
+    return found if by_char is None or sum(found) < by_char + by_word else (by_char, by_word)
+
+
+def verdict(rules: Rules, raw: bytes, n_words: int, by_char: float | None, by_word: float | None) -> bool:
+    """Whether the distributions are those of a known language, by the distances to the nearest one."""
+    if by_char is None:
+        return True
     good = by_char <= rules.char_limit + rules.char_noise / np.sqrt(len(raw))
     if n_words >= rules.min_words:
         good = good and by_word <= rules.word_limit + rules.word_noise / np.sqrt(n_words)
-    return bool(good), by_char, by_word
+    return bool(good)
+
+
+#: Columns that carry the distances to the nearest reference of the blocks so far.
+SO_FAR = ("char_distance_so_far", "word_distance_so_far")
+
+
+def with_blocks(docs: DataFrame, found: DataFrame, rules: Rules, langs_per_block: int) -> tuple[DataFrame, References | None]:
+    """docs with the distances over all blocks of references but the last, and that one."""
+    spark = docs.sparkSession
+    docs = docs.select("*", *[F.lit(None).cast("double").alias(x) for x in SO_FAR])
+    kept = written(found, "references")
+    parts = blocks(kept, langs_per_block)
+    refs, before = next(parts, None), None
+    for following in parts:
+
+        def each(batch: pa.RecordBatch, refs=refs) -> dict[str, pa.Array]:
+            cols = dict(zip(batch.schema.names, batch.columns, strict=True))
+            rows = zip(*(cols[x].to_pylist() for x in ("text", *SO_FAR)), strict=True)
+            best = [nearer(refs, rules, (body or "").encode(), *so_far) for body, *so_far in rows]
+            return cols | {x: pa.array([b[k] for b in best], pa.float64()) for k, x in enumerate(SO_FAR)}
+
+        path = shared_dir(spark, "distances")
+        arrow_map(docs, each, docs.schema).write.parquet(path)
+        if before:
+            forget(spark, before)
+        docs, refs, before = spark.read.schema(docs.schema).parquet(path), following, path
+    return docs, refs
 
 
 OUT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
 
 
-def judge(docs: DataFrame, refs: References, rules: Rules = Rules(), key: str = "doc_id", text: str = "text") -> DataFrame:
+def judge(docs: DataFrame, found: DataFrame, rules: Rules = Rules(), key: str = "doc_id", text: str = "text", langs_per_block: int = LANGS_PER_BLOCK) -> DataFrame:
     """One row per document: the base measures, the two distances and whether it is kept."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows, refs = with_blocks(rows, found, rules, langs_per_block)
 
     def each(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         out = []
-        for body in batch.column(1).to_pylist():
+        for body, *so_far in zip(*(x.to_pylist() for x in batch.columns[1:]), strict=True):
             n, chars, symbols, dups, repeats = measures(body)
             failed = n < MIN_WORDS_BASE or 100 * repeats > 30 * n
-            good, by_char, by_word = verdict(refs, rules, body.encode(), n)
+            raw = body.encode()
+            by_char, by_word = nearer(refs, rules, raw, *so_far)
+            good = verdict(rules, raw, n, by_char, by_word)
             out.append((n, chars, symbols, dups, repeats, failed, good and not failed, by_char, by_word))
         cols = list(zip(*out, strict=True))
         kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
@@ -206,36 +261,36 @@ def judge(docs: DataFrame, refs: References, rules: Rules = Rules(), key: str =
     return arrow_map(rows, each, OUT)
 
 
-def quality_rules(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def quality_rules(docs: DataFrame, rules: Rules = Rules(), langs_per_block: int = LANGS_PER_BLOCK) -> DataFrame:
     """References over all of docs, then the judgement of each of its rows."""
-    return judge(docs, fit_references(docs), rules)
+    return judge(docs, fit_references(docs), rules, langs_per_block=langs_per_block)
 
 
-def keep_good(spark: SparkSession, docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def keep_good(spark: SparkSession, docs: DataFrame, rules: Rules = Rules(), langs_per_block: int = LANGS_PER_BLOCK) -> DataFrame:
     """docs without the rejected rows; every other column and row as it is.
 
     The judgement is made in the map over the rows themselves, so no join by key is needed
     and rows that share a key are judged one by one.
     """
-    refs = fit_references(docs)
     fields = docs.schema
+    rows, refs = with_blocks(docs, fit_references(docs), rules, langs_per_block)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         good = []
-        for body in batch.column(batch.schema.get_field_index("text")).to_pylist():
-            body = body or ""
-            words = body.encode().split()
+        for body, *so_far in zip(*(batch.column(x).to_pylist() for x in ("text", *SO_FAR)), strict=True):
+            raw = (body or "").encode()
+            words = raw.split()
             n = len(words)
             failed = n < MIN_WORDS_BASE or 100 * repeat_words(words) > 30 * n
-            good.append(not failed and verdict(refs, rules, body.encode(), n)[0])
-        return batch.filter(pa.array(good, pa.bool_()))
+            good.append(not failed and verdict(rules, raw, n, *nearer(refs, rules, raw, *so_far)))
+        return batch.select(fields.names).filter(pa.array(good, pa.bool_()))
 
     def run(batches):
         for batch in batches:
             if batch.num_rows and (kept := each(batch)).num_rows:
                 yield kept
 
-    return docs.mapInArrow(run, fields)
+    return rows.mapInArrow(run, fields)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -210,6 +210,21 @@ def test_quality(spark, docs):
     assert {r["doc_id"] for r in kept.collect()} == {k for k, r in got.items() if r["kept"]} and kept.columns == docs.columns
 
 
+def test_quality_of_many_languages(spark):
+    # 40 languages, each of its own words; the smaller ones have fewer documents
+    rows = []
+    for k in range(40):
+        words = [f"w{k}x{j}" for j in range(60)]
+        for d in range(2 if k < 36 else 1):
+            rows.append((len(rows), " ".join(random.Random(len(rows)).choices(words, k=150)), f"l{k:02}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = by_id(quality.quality_rules(docs))
+    assert all(r["kept"] and r["word_distance"] < 0.4 for r in got.values())
+    assert {r["doc_id"] for r in quality.keep_good(spark, docs).collect()} == {k for k, *_ in rows}
+    assert by_id(quality.quality_rules(docs, langs_per_block=7)) == got  # six blocks
+    assert sorted(quality.keep_good(spark, docs, langs_per_block=7).collect()) == sorted(docs.collect())
+
+
 def test_quality_separates_labels(spark):
     sf = "/root/testdata/sf0.01"
     rows = quality.query(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("NOT base_failed").collect()
