@@ -11,7 +11,8 @@ The trees are fitted here, on ``TRAIN_PAGES`` pages that a seeded generator comp
 without telling names); the bound is that parameter, and no page of a corpus is used.
 
 Defined results: null or empty html, and pages without article text, give an empty text;
-page structure may be broken at will (unclosed, crossed or unknown tags); character
+page structure may be broken at will (unclosed, crossed or unknown tags; only text-only
+elements such as script or title run to the end of the page if unclosed); character
 references are decoded; white space within a block becomes one space; blocks are joined by
 one newline; repeated rows are treated one by one.
 """
@@ -41,11 +42,18 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "select", "head", "xmp", "noembed", "noframes"}
+#: Of these, the ones with markup within: left open, they end at the next block tag (the others run to the end of the page).
+MARKUP = {"noscript", "template", "svg", "math", "object", "canvas", "select"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
 BLOCK = {
     "html", "body", "div", "p", "section", "article", "main", "aside", "nav", "header", "footer", "ul", "ol", "li", "dl", "dt", "dd", "table", "tbody", "thead", "tfoot", "tr", "td", "th", "caption",
     "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figure", "figcaption", "form", "fieldset", "legend", "address", "details", "summary", "dialog", "center", "hgroup", "menu", "button", "label", "option", "search",
 }
+# ends are searched in the source itself: lower() would move offsets, as it lengthens some letters
+_CLOSE = {t: re.compile(rf"</{t}(?=[\s/>])", re.I | re.A) for t in RAW}
+_BODY = re.compile(r"<body(?=[\s/>])", re.I | re.A)
+_MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)({'|'.join(sorted(MARKUP))})(?=[\s/>])([^>]*+)>", re.I | re.A | re.S)
+_BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK - {'option'}))})(?=[\s/>])", re.I | re.A)
 #: Starting one of these ends an open one of these (up to the named container).
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"form"})}
 
@@ -69,6 +77,21 @@ TAG_TOKENS = {"nav": 1, "menu": 1, "aside": 2, "footer": 3, "header": 4, "dialog
 _TOKEN_NO = {w: k for k, ws in reversed(list(enumerate(CHROME))) for w in ws}
 
 
+def markup_ends(source: str) -> dict[int, int]:
+    """Where each closed element of MARKUP ends, by its start; elements left open have no entry."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for m in _MARKUP.finditer(source):
+        if m[2]:
+            own = opened.setdefault(m[2].lower(), [])
+            if m[1]:
+                if own:
+                    ends[own.pop()] = m.start()
+            elif not m[3].endswith("/"):
+                own.append(m.start())
+    return ends
+
+
 class Page:
     """The block-level nodes of a page (0 is the root) and its text blocks in order."""
 
@@ -83,7 +106,7 @@ class Page:
         stack, opened = [0], {}
         texts: list[str] = []
         link, linked, at = 0, 0, 0
-        lower = None
+        closed = None
 
         def flush() -> None:
             nonlocal linked
@@ -116,15 +139,19 @@ class Page:
             name, closing = name.lower(), (m[1] or m[4])
             if name in RAW:
                 if not closing and not (m[3] or m[6] or "").endswith("/"):
-                    if lower is None:
-                        lower = source.lower()
-                    end = lower.find(f"</{name}", pos)
-                    if name == "head":
-                        body = lower.find("<body", pos)
-                        end = min((x for x in (end, body) if x >= 0), default=-1)
-                        if end < 0:
-                            continue  # an unclosed head: go on reading
-                    pos = at = len(source) if end < 0 else end
+                    if name in MARKUP:
+                        if closed is None:
+                            closed = markup_ends(source)
+                        end = closed.get(m.start())
+                        if end is None:
+                            end = x.start() if (x := _BLOCK.search(source, pos)) else len(source)
+                    else:
+                        end = x.start() if (x := _CLOSE[name].search(source, pos)) else len(source)
+                        if name == "head":
+                            end = x.start() if (x := _BODY.search(source, pos, end)) else end
+                            if end == len(source):
+                                continue  # an unclosed head: go on reading
+                    pos = at = end
             elif name == "a":
                 link = 0 if closing else 1
             elif name == "br":

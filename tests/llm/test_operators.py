@@ -45,6 +45,24 @@ def test_html_known_page():
     assert html_extract.extract([page, "", "<p", "no markup at all"], html_extract.trained())[0] == "On & on\nFirst one.\nSecond one, with more words in it."
 
 
+def page_texts(source):
+    return [t for _, t, _ in html_extract.Page(source).blocks]
+
+
+def test_html_ends_of_raw_elements():
+    far = "\u0130" * 12  # lower() makes two code points of each
+    assert page_texts(f"<head><title>{far}</title></head><p>{far}</p><SCRIPT>x</Script><p>First words.</p>") == [far, "First words."]
+    assert page_texts(f"<p>{far}<script>x</script>ab <b>cd</b></p>") == [far + "ab cd"]
+    assert page_texts("<head><meta><header>Top</header><p>Text") == ["Top", "Text"]  # </header> does not end a head
+
+
+def test_html_unclosed_markup_elements():
+    for tag in ("svg", "math", "object"):
+        assert page_texts(f"<p>One <{tag}><path d='1'>x<p>Two</p><p>Three</p>") == ["One", "Two", "Three"]
+        assert page_texts(f"<p>One <{tag}>x<p>Two</p><{tag}>y</{tag}><p>Three</p>") == ["One", "Two", "Three"]
+        assert page_texts(f"<p>One <{tag}><!-- <{tag}> --><{tag}>x</{tag}><div>y</div></{tag}> two</p>") == ["One two"]
+
+
 def test_html_held_out_accuracy_and_hierarchy():
     model = html_extract.trained()
     x, y = html_extract.training_rows(120, 12345)
