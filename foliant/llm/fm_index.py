@@ -1,4 +1,4 @@
-"""A word-level FM-index: suffix array, BWT in a wavelet matrix, backward search, in numpy."""
+"""A word-level index: suffix array, BWT in a wavelet matrix and LF steps, in numpy; text and order stay uncompressed."""
 
 from __future__ import annotations
 
@@ -116,8 +116,8 @@ class FMIndex:
     def smallest_owner(self, k: np.ndarray | None = None) -> list[np.ndarray]:
         """For each segment, for each window of depth words, the smallest owner of an equal window.
 
-        All segments are searched backwards side by side, a word at a time, from the row of
-        their separator; a row's class is the interval of its first depth words.
+        All segments are walked backwards side by side, a word at a time, from the row of
+        their separator; a row's class, found from suffix-array ranks, is that of its first depth words.
         """
         sizes = np.diff(np.concatenate([[-1], self.ends])) - 1
         out = [np.empty(max(0, s - self.depth + 1), np.int64) for s in sizes]

@@ -12,11 +12,11 @@ one shard, and neighbouring windows with one minimizer travel as one segment.
    text), the windows of these are first counted one by one and the segments trimmed to
    windows that two documents at least have, which again collapses them; so no shard holds
    more than its distinct repeated text.
-4. A shard's distinct segments are indexed: suffix array, BWT, wavelet matrix. Segments are
-   streamed through backward search, whose interval at each place is cut to ``window`` words:
-   the matching statistics that reach the threshold, with the smallest document id of each
-   interval. Shards are built for whole minimizers, some ``shard_words`` words at a time.
-5. Intervals owned by a smaller id are joined back to the documents and their words removed.
+4. A shard's distinct segments are indexed: suffix array, BWT, wavelet matrix. The ranks of
+   the suffix array give the classes of equal windows of ``window`` words, with the smallest
+   document id of each; a segment's rows are walked by LF steps from its separator. No
+   interval is searched and no matching statistic computed. Shards are built for whole minimizers, some ``shard_words`` words at a time.
+5. Windows owned by a smaller id are joined back to the documents and their words removed.
 
 Defined results: null or empty text has no words; a text with fewer words than a window
 keeps them all; rows that share a doc_id are judged alike against smaller ids; rows with a
