@@ -15,7 +15,9 @@ blocks that cannot matter. All items at or above the threshold are retrieved, an
 verified by the overlap of its question and of its answer (word trigrams) with the passage.
 
 The index is sent to the executors for ``items_per_index`` items at a time: that bounds the
-broadcast, and a larger benchmark takes more passes, each over all documents.
+broadcast, and a larger benchmark takes more passes, each over all documents. Number of items,
+document frequencies, mean length and L are those of all items, so scores do not depend on
+the slices; the driver holds the frequencies of the benchmark's vocabulary.
 
 Defined results: null or empty texts have no passages; an item without words matches
 nothing; items that repeat are each reported; rows that share a doc_id count as one; an
@@ -60,10 +62,27 @@ def trigrams(words: list[bytes]) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + 3]) for i in range(len(words) - 2)} if len(words) > 2 else ({tuple(words)} if words else set())
 
 
+class Totals:
+    """Number, words, longest item and document frequencies of all items."""
+
+    def __init__(self) -> None:
+        self.n, self.words, self.longest = 0, 0, 0
+        self.found: Counter[bytes] = Counter()
+
+    def add(self, words: list[bytes]) -> None:
+        self.n += 1
+        self.words += len(words)
+        self.longest = max(self.longest, len(words))
+        self.found.update(set(words))
+
+
 class Index:
-    """Postings of a set of items with per-term and per-block maximal weights."""
+    """Postings of a set of items with per-term and per-block maximal weights.
+
+    ``totals`` are those of all items if the set is a slice of them.
+    """
 
-    def __init__(self, items: list[tuple[int, str]], config: Config) -> None:
+    def __init__(self, items: list[tuple[int, str]], config: Config, totals: Totals | None = None) -> None:
         self.config = config
         self.ids = [k for k, _ in items]
         words = [plain_words(t) for _, t in items]
@@ -71,10 +90,14 @@ class Index:
         for _, text in items:
             question, _, answer = text.strip().partition("\n")
             self.parts.append((trigrams(plain_words(question)), trigrams(plain_words(answer))))
-        self.step = max([32, *map(len, words)])
-        n, mean = max(1, len(items)), max(1.0, sum(map(len, words)) / max(1, len(items)))
-        found = Counter(w for ws in words for w in set(ws))
-        idf = {w: float(np.log(1 + (n - c + 0.5) / (c + 0.5))) for w, c in found.items()}
+        if totals is None:
+            totals = Totals()
+            for ws in words:
+                totals.add(ws)
+        self.step = max(32, totals.longest)
+        n = max(1, totals.n)
+        mean = max(1.0, totals.words / n)
+        idf = {w: float(np.log(1 + (n - totals.found[w] + 0.5) / (totals.found[w] + 0.5))) for w in {w for ws in words for w in ws}}
         postings: dict[bytes, list[tuple[int, float]]] = {}
         for k, ws in enumerate(words):
             scores = {w: idf[w] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(ws) / mean)) for w, c in Counter(ws).items()}
@@ -188,15 +211,19 @@ class Index:
 def _indexes(items: DataFrame, config: Config) -> Iterator[Index]:
     """An index for each slice of the items; a slice is what the driver holds at a time."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    totals = Totals()
+    for r in rows.toLocalIterator():
+        if words := plain_words(r["text"]):
+            totals.add(words)
     part: list[tuple[int, str]] = []
     for r in rows.toLocalIterator():
         if plain_words(r["text"]):
             part.append((r["item_id"], r["text"]))
         if len(part) == config.items_per_index:
-            yield Index(part, config)
+            yield Index(part, config, totals)
             part = []
     if part:
-        yield Index(part, config)
+        yield Index(part, config, totals)
 
 
 OUT = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"

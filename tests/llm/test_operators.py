@@ -174,6 +174,18 @@ def test_decontamination(spark):
     assert decontam.leaks(d, b.limit(0)).count() == 0
 
 
+def test_decontamination_in_slices(spark):
+    own = random.Random(5)
+    items = [(i, " ".join(own.choice(VOCAB) for _ in range(own.randint(15, 60))) + "\n" + own.choice(VOCAB)) for i in range(30)]
+    rows = [(i, " ".join(own.choice(VOCAB) for _ in range(90)) + " " + t[: len(t) * own.randint(4, 9) // 10]) for i, t in items]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole, slices = (
+        {(r["doc_id"], r["item_id"]): round(r["score"], 9) for r in decontam.leaks(d, b, decontam.Config(threshold=0.3, overlap=0.0, items_per_index=k)).collect()}
+        for k in (50_000, 7)
+    )
+    assert whole and whole == slices
+
+
 def test_wand_is_exhaustive():
     items = [(i, " ".join(R.choice(VOCAB) for _ in range(25))) for i in range(200)]
     index = decontam.Index(items, decontam.Config(threshold=0.15, slack=0.02))
