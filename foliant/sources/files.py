@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FORMATS = {"md": "text", "markdown": "text", "txt": "text", "html": "html", "htm": "html", "docx": "docx", "pdf": "pdf"}
-MAX_BYTES = 32 << 20  # a larger file is reported, not read
 
 
 def format_of(path: Column) -> Column:
@@ -27,10 +26,9 @@ def format_of(path: Column) -> Column:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, format, content, error) of every file below a folder; files over the limit keep a null content."""
+    """(path, format, content, error) of every file below a folder, whatever its size; error is for to_text."""
     own = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    big = F.col("length") > MAX_BYTES
-    return own.select("path", format_of(F.col("path")).alias("format"), F.when(~big, F.col("content")).alias("content"), F.when(big, F.lit("too large")).alias("error"))
+    return own.select("path", format_of(F.col("path")).alias("format"), "content", F.lit(None).cast("string").alias("error"))
 
 
 def to_text(files: DataFrame) -> DataFrame:

@@ -51,3 +51,10 @@ def test_stream(spark, tmp_path):
 def test_records_keep_all_blocks(spark):
     own = typed(spark, "/root/testdata/sf0.001")
     assert writers.to_docx(own).count() == own.select("doc_id").distinct().count()
+
+
+def test_large_file_is_read(spark, tmp_path):
+    (tmp_path / "long.txt").write_text("word " * (7 << 20))  # 35 MB
+    from foliant.sources.files import documents
+
+    assert [r["n"] for r in documents(spark, str(tmp_path)).selectExpr("length(text) AS n").collect()] == [35 << 20]
