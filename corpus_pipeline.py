@@ -9,32 +9,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm import bpe, decontam, line_dedup, ngram_join, quality
-from foliant.llm.common import settled
+from foliant.llm.common import bounded, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality.keep_good(spark, docs)
+    return quality.keep_good(bounded(spark), docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Long lines that many documents share stay in one of them; n_chars follows the text."""
-    return line_dedup.dedup_rows(spark, docs)
+    return line_dedup.dedup_rows(bounded(spark), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest id."""
-    return ngram_join.one_of_each(spark, docs)
+    return ngram_join.one_of_each(bounded(spark), docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold an item of the benchmark go."""
-    return decontam.clean_rows(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontam.clean_rows(bounded(spark), docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document with its ids, their number and whether they decode to its text."""
-    return bpe.tokenized(spark, docs)
+    return bpe.tokenized(bounded(spark), docs)
 
 
 STAGES = [
@@ -55,5 +55,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = settled(docs, f"stage-{name}")
+            docs = written(docs, f"stage-{name}")
     return docs

@@ -30,19 +30,19 @@ import json
 import re
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import arrow_map, id_and_text
+from foliant.llm.common import arrow_map, id_and_text, worker_state
 
 CHUNK = 1 << 16
 LONG = 1 << 12  # a piece of more characters is passed on while it is still open
 CACHED_CHARS = 48
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
+PAIR_ENTRIES = 300_000
 NEVER = 1 << 60
 HOLD = 3  # matches held back at the end of a chunk
 
@@ -138,7 +138,7 @@ class Merges:
         key = a << 32 | b
         known = self.valid.get(key)
         if known is None:
-            if len(self.valid) >= 2 * CACHE_ENTRIES:
+            if len(self.valid) >= PAIR_ENTRIES:
                 self.valid.clear()
             known = self.valid[key] = not self._crossed(a, b, NEVER)
         return known
@@ -311,10 +311,9 @@ class Decoder:
         return self.state.decode(b"", True)
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     """One encoder, with its cache, for a Python worker."""
-    return Encoder(path)
+    return worker_state(("bpe", path), lambda: Encoder(path))
 
 
 def unpack(packed: bytes) -> array:

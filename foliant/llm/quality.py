@@ -13,8 +13,9 @@ time; where there are more, each further block takes one more pass over the docu
 carries the nearest reference so far.
 
 Defined results: null or empty text has no words, fails the base rule and is not kept;
-repeated rows are judged one by one; null languages count as language ''; an empty table
-gives no references and then no document is rejected by the method.
+repeated rows are judged one by one; null languages, and all rows of a table without a column
+of languages, count as language ''; an empty table gives no references and an empty result; texts
+of any length are taken whole; other columns may have any names but the two of SO_FAR.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import SPACE, arrow_map, forget, shared_dir, written
+from foliant.llm.common import SPACE, arrow_map, forget, shared_dir, worker_state, written
 
 SYMBOLS = "#*$%&|<>"
 WORD_BUCKETS = 4096
@@ -143,9 +144,11 @@ class References:
 
 def fit_references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """A row for each language: the histograms of all its documents, summed and cut to the TOP buckets."""
-    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"))
+    code = F.col(lang).cast("string") if lang in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(code, F.lit("")).alias("lang"))
 
     def partial(batch: pa.RecordBatch) -> dict[str, pa.Array] | None:
+        worker_state()
         places: dict[str, list[int]] = {}
         for k, code in enumerate(batch.column(1).to_pylist()):
             places.setdefault(code, []).append(k)

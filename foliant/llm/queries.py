@@ -3,16 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm import bpe, decontam, html_extract, line_dedup, ngram_join, quality, secrets, substring_dedup, token_files, url_filter
+from foliant.llm.common import bounded
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _bounded(query: Query) -> Query:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query(bounded(spark), sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
-    return {
+    found = {
         "op1_html_extraction": html_extract.query,
         "op2_bpe": bpe.query,
         "op3_line_dedup": line_dedup.query,
@@ -24,6 +34,7 @@ def queries() -> dict[str, Query]:
         "op9_quality_rules": quality.query,
         "op10_token_files": token_files.query,
     }
+    return {name: _bounded(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:

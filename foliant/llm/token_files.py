@@ -36,7 +36,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import id_and_text, shared_dir
+from foliant.llm.common import id_and_text, shared_dir, worker_state
 
 MAGIC = b"FOLSST01"
 FOOTER = struct.Struct("<QQQQQQB7x8s")
@@ -55,6 +54,7 @@ BLOCK_BYTES = 1 << 16
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 CACHE_ENTRIES, CACHED_CHARS = 150_000, 48
 END_ID = 1
+SHARD_BYTES = 64 << 20
 
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
 _FAST = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[0-9]|[^\s{_L}0-9]+")
@@ -263,9 +263,9 @@ class WordEncoder:
         return out
 
 
-@lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    """One encoder, with its cache, for a Python worker."""
+    return worker_state(("words", path), lambda: WordEncoder(path))
 
 
 def _groups(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -278,11 +278,18 @@ def _groups(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
         start = stop
 
 
+def shard_count(rows: DataFrame) -> int:
+    """Shards of some SHARD_BYTES of the input as the planner estimates it, and at least one for each shuffle partition."""
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return least if size >= 1 << 60 else max(least, -(-size // SHARD_BYTES))  # no estimate: a huge number
+
+
 def write_shards(docs: DataFrame, path: str, folder: str, shards: int | None = None, end_id: int | None = END_ID) -> list[dict]:
     """Write the encoded documents as shards below folder; (shard, uri, docs, ids) of each in order."""
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = id_and_text(docs)
+    shards = shards or shard_count(rows)
     ordered = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
