@@ -138,6 +138,3 @@ class Scratch:
     def drop_all_but(self, *tables: DataFrame) -> None:
         keep = {id(t) for t in tables}
         self.drop(*[t for k, (t, _, _) in list(self._kept.items()) if k not in keep])
-
-
-settled = written
