@@ -7,8 +7,8 @@ parts:
 
 1. a batch's lines are hashed in Arrow batches (128 bits, so that equal hashes mean equal
    keys) and summed per hash, with a map-side sum first;
-2. the batch is merge-anti-joined with the runs: hashes that no run knows become the new
-   level-0 run; hashes that a run knows become increments of the same key in that new run;
+2. the batch is merge-joined with the runs: hashes that no run knows (those that an anti-join
+   would leave) are marked fresh, others as increments, and both become the new level-0 run;
 3. as soon as ``fanout`` runs of one level exist they are merged into one of the next level.
 
 A run is a table in the shared folder, hashed into a fixed number of buckets and sorted by
@@ -18,8 +18,9 @@ which are joined with the lines; AQE splits the join's hot keys, whose rows are
 (hash, document) pairs.
 
 Defined results: null or empty text is one empty line, which is never dropped; a key held
-by several rows with one doc_id counts that document once; rows with a null doc_id stay
-whole; repeated rows are treated alike.
+by several rows with one doc_id counts that document once, and each of them is treated alike;
+rows with a null doc_id stay whole; an empty table gives an empty result; texts and lines of any
+length are taken whole; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -177,23 +178,26 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_rows(spark: SparkSession, docs: DataFrame, config: Config = Config()) -> DataFrame:
-    """docs with its texts rewritten; the other columns as they are, n_chars following the text."""
-    rows = id_and_text(docs)
-    lost = repeated_lines(rows, config).withColumnRenamed("doc_id", "_lost_id").withColumnRenamed("hashes", "_lost")
-    joined = docs.join(lost, F.col("doc_id") == F.col("_lost_id"), "left").drop("_lost_id")
-    names = [x for x in docs.columns]
+    """docs with its texts rewritten; the other columns as they are, n_chars following the text.
+
+    Rows travel as one struct, so no name of a column can clash; a null text stays null.
+    """
+    lost = repeated_lines(id_and_text(docs), config)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"))
+    joined = rows.join(lost, "doc_id", "left").select("row", "hashes")
 
     def run(batches):
         for batch in batches:
-            cols = {n: batch.column(batch.schema.get_field_index(n)) for n in names}
+            row = batch.column(0)
+            cols = dict(zip(row.type.names, row.flatten(), strict=True))
             texts, lengths = [], []
-            for text, hashes in zip(cols["text"].to_pylist(), batch.column(batch.schema.get_field_index("_lost")).to_pylist(), strict=True):
+            for text, hashes in zip(cols["text"].to_pylist(), batch.column(1).to_pylist(), strict=True):
                 new = text if text is None or not hashes else "\n".join(kept_lines(text, set(hashes), config.min_chars)[0])
                 texts.append(new)
                 lengths.append(None if new is None else len(new))
             cols["text"] = pa.array(texts, pa.string())
             if "n_chars" in cols:
-                cols["n_chars"] = pa.array(lengths, pa.int64())
+                cols["n_chars"] = pa.array(lengths, cols["n_chars"].type)
             yield pa.RecordBatch.from_pydict(cols)
 
     return joined.mapInArrow(run, docs.schema)
