@@ -86,12 +86,10 @@ def places(key: Column, bits: int, hashes: int, seed: int) -> list[Column]:
 
 
 def holds(level: Level, key: Column) -> Column:
-    words = F.array(*[F.lit(w) for w in level.words]).cast("array<long>")
-    found = F.lit(True)
-    for at in places(key, level.bits, level.hashes, level.seed):
-        word = F.element_at(words, (at / BITS).cast("int") + 1)
-        found = found & (F.call_function("bit_get", word, (at % BITS).cast("int")) == 1)
-    return found
+    """Whether the filter holds a key; its words are one literal, folded once when the plan is made."""
+    words = F.split(F.lit(",".join(map(str, level.words))), ",").cast("array<long>")
+    at = F.array(*places(key, level.bits, level.hashes, level.seed))
+    return F.forall(at, lambda x: F.call_function("bit_get", F.element_at(words, (x / BITS).cast("int") + 1), (x % BITS).cast("int")) == 1)
 
 
 def build_level(keys: DataFrame, n: int, hashes: int, seed: int) -> Level:
@@ -120,13 +118,16 @@ def build_cascade(universe: DataFrame, n_universe: int, keys: DataFrame, n_keys:
         raise ValueError(f"the filter of {n_keys} rules would need more than max_bits={max_bits} bits")
     levels = [build_level(keys, n_keys, first, seed)]
     wrong = universe.where(holds(levels[0], F.col("key"))).select("key").distinct().join(F.broadcast(keys) if n_keys < 100_000 else keys, "key", "left_anti").cache()
-    others, n_wrong = keys, wrong.count()
+    others, n_wrong, held = keys, wrong.count(), [wrong]
     while n_wrong:
         seed += 1
         level = build_level(wrong, n_wrong, 2, seed)
         levels.append(level)
         right = others.where(holds(level, F.col("key"))).cache()
+        held.append(right)
         others, wrong, n_wrong = wrong, right, right.count()
+    for x in held:  # small multiples of the rules; the levels are all that is used from here on
+        x.unpersist()
     return levels
 
 
