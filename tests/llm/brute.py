@@ -86,17 +86,38 @@ def jaccard_components(docs: list[tuple[int, str | None]]) -> dict[int, tuple[in
     return {k: (len(s), find(k)) for k, s in sets.items()}
 
 
-def substring_dedup(docs: list[tuple[int, str | None]], window: int = 50) -> dict[int, tuple[int, int, str]]:
-    """doc_id -> (n_words, n_removed, digest of the kept words)."""
+def components_of_documents(docs: list[tuple[int, str | None]]) -> list[tuple[int, int, int]]:
+    """(doc_id, n_shingles, component_id) of every row, where rows that share a doc_id are one document."""
+    found = jaccard_components([(i, t) for i, (_, t) in enumerate(docs)])
+    root: dict[tuple[str, int], tuple[str, int]] = {}
+
+    def find(a: tuple[str, int]) -> tuple[str, int]:
+        while root.setdefault(a, a) != a:
+            a = root[a]
+        return a
+
+    for i, (n, first) in found.items():
+        if n:
+            root[find(("row", i))] = find(("row", first))
+            root[find(("row", i))] = find(("doc", docs[i][0]))
+    least: dict[tuple[str, int], int] = {}
+    for k, _ in docs:
+        at = find(("doc", k))
+        least[at] = min(least.get(at, k), k)
+    return sorted((k, found[i][0], least[find(("doc", k))] if found[i][0] else k) for i, (k, _) in enumerate(docs))
+
+
+def substring_dedup(docs: list[tuple[int | None, str | None]], window: int = 50) -> list[tuple[int | None, int, int, str]]:
+    """(doc_id, n_words, n_removed, digest of the kept words) of every row; a null id owns and loses nothing."""
     first: dict[tuple[str, ...], int] = {}
     for k, text in docs:
         w = words(text)
-        for i in range(len(w) - window + 1):
+        for i in range(len(w) - window + 1 if k is not None else 0):
             g = tuple(w[i : i + window])
             first[g] = min(first.get(g, k), k)
-    out = {}
+    out = []
     for k, text in docs:
         w = words(text)
-        lost = {i + j for i in range(len(w) - window + 1) if first[tuple(w[i : i + window])] < k for j in range(window)}
-        out[k] = (len(w), len(lost), sha(" ".join(x for i, x in enumerate(w) if i not in lost)))
-    return out
+        lost = {i + j for i in range(len(w) - window + 1) if first[tuple(w[i : i + window])] < k for j in range(window)} if k is not None else set()
+        out.append((k, len(w), len(lost), sha(" ".join(x for i, x in enumerate(w) if i not in lost))))
+    return sorted(out, key=str)
