@@ -13,6 +13,12 @@ def strip(x: Column) -> Column:
     return F.regexp_replace(x, rf"^{WHITE}+|{WHITE}+$", "")
 
 
+def title_case(x: Column) -> Column:
+    """Every run of letters with a capital first and small letters behind it."""
+    runs = F.regexp_extract_all(x, F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substr(r, F.lit(2))))), "")
+
+
 def words(x: Column) -> Column:
     """Array of the runs of non-space characters."""
     return F.filter(F.split(strip(x), rf"{WHITE}+"), lambda w: w != "")

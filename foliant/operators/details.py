@@ -1,4 +1,4 @@
-"""Smaller projections of blocks: splits, icons, chart specs, seeds, agenda and raw text to Markdown."""
+"""Smaller projections of blocks: splits, icons, chart specs, seeds, style rules and raw text to Markdown."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.color import seed_int
-from foliant.functions.text import strip
+from foliant.functions.text import strip, title_case
 
 
 def split_once(x: Column, sep: str) -> tuple[Column, Column]:
@@ -82,7 +82,9 @@ def raw_markdown(classified: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     top = F.sum(F.col("tag").isin("h1", "h2").cast("int")).over(w)
     x = F.col("line")
-    text = strip(F.regexp_replace(x, r":\s*$", ""))
+    label = strip(F.regexp_replace(x, r":\s*$", ""))
+    letters = F.regexp_replace(x, r"[^a-zA-Z\s]", "")
+    text = F.when((letters == F.upper(letters)) & (strip(letters) != ""), title_case(label)).otherwise(label)
     out = (
         F.when(F.col("tag") == "blank", "").when(F.col("tag") == "h1", F.concat(F.lit("# "), text)).when((F.col("tag") == "h2") & (top == 1), F.concat(F.lit("# "), text)).when(F.col("tag") == "h2", F.concat(F.lit("## "), text))
         .when(F.col("tag").isin("h3", "h3_entity"), F.concat(F.lit("### "), text)).when(F.col("tag") == "timeline", F.concat(F.lit("- "), x)).when(F.col("tag") == "quote", F.concat(F.lit("> "), x))

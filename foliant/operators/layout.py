@@ -12,14 +12,35 @@ def body_size(words: DataFrame) -> DataFrame:
     return by.groupBy("doc_id").agg(F.max_by("size", F.struct("n", -F.col("size"))).alias("size"))
 
 
+def _starts(values: Column, tolerance: float) -> Column:
+    """For each value of a sorted array, the value that starts its run: the first one, then each that lies further than the tolerance from the last start."""
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        return F.concat(acc, F.array(F.when(x - last <= tolerance, last).otherwise(x)))
+
+    return F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.slice(values, 1, 1), step)
+
+
 def visual_lines(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
     """(doc_id, page, line, top, x0, x1, size, text): words of about one height, left to right.
 
-    A line starts where a word lies more than the tolerance below the word before it.
+    A line starts where a word lies more than the tolerance below the first word of the line
+    before, so words that drift down do not chain. Lines are numbered over the distinct
+    heights of a page; a page's words, which its size bounds, are gathered once.
     """
-    w = Window.partitionBy("doc_id", "page").orderBy("top", "x0", "word_seq")
-    step = (F.col("top") - F.lag("top").over(w) > tolerance).cast("int")
-    own = words.withColumn("line", F.sum(F.coalesce(step, F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    pages = words.groupBy("doc_id", "page").agg(F.collect_list(F.struct("top", "x0", "word_seq", "x1", "size", "text")).alias("words"))
+    tops = pages.withColumn("tops", F.array_sort(F.array_distinct("words.top")))
+
+    def step(acc: Column, top: Column) -> Column:
+        below = top - acc["anchor"] > tolerance
+        return F.struct(F.when(below, top).otherwise(acc["anchor"]).alias("anchor"), F.concat(acc["lines"], F.array(F.element_at(acc["lines"], -1) + below.cast("int"))).alias("lines"))
+
+    start = F.struct(F.element_at("tops", 1).alias("anchor"), F.array(F.lit(0)).alias("lines"))
+    number = F.aggregate(F.slice("tops", F.lit(2), F.size("tops")), start, step, lambda acc: acc["lines"])
+    numbered = tops.withColumn("line_of", F.map_from_arrays("tops", number))
+    each = F.explode(F.transform("words", lambda w: F.struct(F.element_at("line_of", w["top"]).alias("line"), w.alias("w"))))
+    own = numbered.select("doc_id", "page", each.alias("e")).select("doc_id", "page", "e.line", "e.w.*")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "word_seq", "text"))), lambda y: y["text"]), " ")
     return own.groupBy("doc_id", "page", "line").agg(F.min("top").alias("top"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.max("size").alias("size"), text.alias("text"))
 
@@ -44,26 +65,42 @@ def median_gap(lines: DataFrame) -> DataFrame:
 
 
 def gutter(words: DataFrame, lines_tolerance: float = 3.0, bins: int = 200) -> DataFrame:
-    """(doc_id, page, low, high): the widest empty band of the page's middle half, in bins."""
+    """(doc_id, page, low, high): the widest empty band of the page's middle half, in bins.
+
+    A row's words become one bit set of covered bins, so words are shuffled once by page and
+    no row per bin is made; a page's bit sets, one a row, are counted bin by bin.
+    """
     width = F.max("x1").over(Window.partitionBy("doc_id", "page"))
     bin_of = lambda x: F.least(F.floor(x / F.col("w") * bins), F.lit(bins - 1)).cast("int")
-    own = words.withColumn("w", width).withColumn("row", F.floor(F.col("top") / lines_tolerance))
-    covered = own.select("doc_id", "page", "row", F.explode(F.sequence(bin_of(F.col("x0")), bin_of(F.col("x1")))).alias("bin"))
-    density = covered.groupBy("doc_id", "page", "bin").agg(F.count_distinct("row").alias("n"))
-    rows = own.groupBy("doc_id", "page").agg(F.count_distinct("row").alias("rows"))
-    grid = rows.select("doc_id", "page", "rows", F.explode(F.sequence(F.lit(bins // 4), F.lit(bins * 3 // 4 - 1))).alias("bin"))
-    free = grid.join(density, ["doc_id", "page", "bin"], "left").where(F.coalesce("n", F.lit(0)) <= F.col("rows") * 0.05)
-    w = Window.partitionBy("doc_id", "page").orderBy("bin")
-    islands = free.withColumn("isl", F.col("bin") - F.row_number().over(w)).groupBy("doc_id", "page", "isl").agg(F.min("bin").alias("low"), F.max("bin").alias("high"))
+    own = words.withColumn("w", width).select("doc_id", "page", F.floor(F.col("top") / lines_tolerance).alias("row"), bin_of(F.col("x0")).alias("a"), bin_of(F.col("x1")).alias("b"))
+    ones = F.lit(-1).cast("long")
+
+    def mask(k: int) -> Column:
+        low, high = F.greatest(F.col("a") - 64 * k, F.lit(0)), F.least(F.col("b") - 64 * k, F.lit(63))
+        bits = F.call_function("shiftleft", ones, low).bitwiseAND(F.call_function("shiftrightunsigned", ones, 63 - high))
+        return F.when((low <= 63) & (high >= 0), bits).otherwise(F.lit(0).cast("long"))
+
+    rows = own.groupBy("doc_id", "page", "row").agg(F.array(*[F.bit_or(mask(k)) for k in range(-(-bins // 64))]).alias("covered"))
+    pages = rows.groupBy("doc_id", "page").agg(F.collect_list("covered").alias("rows"))
+    free = lambda b: F.size(F.filter("rows", lambda r: F.call_function("bit_get", F.element_at(r, (b / 64).cast("int") + 1), (b % 64).cast("int")) == 1)) <= F.size("rows") * 0.05
+    found = pages.select("doc_id", "page", F.posexplode(F.filter(F.sequence(F.lit(bins // 4), F.lit(bins * 3 // 4 - 1)), free)).alias("k", "bin"))
+    islands = found.groupBy("doc_id", "page", (F.col("bin") - F.col("k")).alias("isl")).agg(F.min("bin").alias("low"), F.max("bin").alias("high"))
     return islands.groupBy("doc_id", "page").agg(F.max_by(F.struct("low", "high"), F.struct((F.col("high") - F.col("low")).alias("s"), -F.col("low"))).alias("b")).select("doc_id", "page", "b.*")
 
 
-def left_margin(lines: DataFrame) -> DataFrame:
-    """(doc_id, margin): the smallest of the three commonest rounded left edges that have 20 % of the largest one's lines."""
-    by = lines.groupBy("doc_id", F.round(F.col("x0") / 3).alias("bucket")).agg(F.count("*").alias("n"), F.min("x0").alias("x0"))
-    w = Window.partitionBy("doc_id").orderBy(F.desc("n"), "bucket")
-    own = by.withColumns({"k": F.row_number().over(w), "most": F.max("n").over(Window.partitionBy("doc_id"))})
-    return own.where((F.col("k") <= 3) & (F.col("n") >= F.col("most") * 0.2)).groupBy("doc_id").agg(F.min("x0").alias("margin"))
+def left_margin(lines: DataFrame, tolerance: float = 3.0) -> DataFrame:
+    """(doc_id, margin): the smallest of the three commonest left edges that have 20 % of the largest one's lines.
+
+    Rounded edges within the tolerance of the first of their cluster count as one edge, named
+    by that first one; of equally common edges the smaller comes first.
+    """
+    by = lines.groupBy("doc_id", F.bround("x0").alias("x0")).agg(F.count("*").alias("n"))
+    edges = by.groupBy("doc_id").agg(F.array_sort(F.collect_list("x0")).alias("edges"))
+    names = edges.select("doc_id", F.explode(F.arrays_zip("edges", _starts(F.col("edges"), tolerance).alias("margin"))).alias("e")).select("doc_id", F.col("e.edges").alias("x0"), F.col("e.margin").alias("margin"))
+    own = by.join(names, ["doc_id", "x0"]).groupBy("doc_id", "margin").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy("doc_id").orderBy(F.desc("n"), "margin")
+    own = own.withColumns({"k": F.row_number().over(w), "most": F.max("n").over(Window.partitionBy("doc_id"))})
+    return own.where((F.col("k") <= 3) & (F.col("n") >= F.col("most") * 0.2)).groupBy("doc_id").agg(F.min("margin").alias("margin"))
 
 
 def dehyphenated(lines: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.color import hue_mean
@@ -19,12 +19,20 @@ def _checked(lexicon: DataFrame) -> DataFrame:
     return F.broadcast(lexicon) if lexicon.limit(MAX_LISTED + 1).count() <= MAX_LISTED else lexicon
 
 
+def _listed(lexicon: DataFrame) -> list[Row]:
+    """All entries in order; a lexicon of more than MAX_LISTED is refused, as it would be cut otherwise."""
+    rows = lexicon.orderBy("ord").limit(MAX_LISTED + 1).collect()
+    if len(rows) > MAX_LISTED:
+        raise ValueError(f"the lexicon has more than MAX_LISTED={MAX_LISTED} entries")
+    return rows
+
+
 def phrase_hits(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(doc_id, ord, key, hits): the sum of non-overlapping counts of each entry's signals, for every entry.
 
     The lexicon becomes one array literal of bounded size, so a text is read once and no join is made.
     """
-    entries = lexicon.orderBy("ord").limit(MAX_LISTED).collect()
+    entries = _listed(lexicon)
     x = F.lower(F.coalesce(F.col("text"), F.lit("")))
     scored = F.array(*[F.struct(F.lit(e["ord"]).alias("ord"), F.lit(e["key"]).alias("key"), sum((count_of(F.col("x"), F.lit(s)) for s in e["signals"]), F.lit(0)).alias("hits")) for e in entries])
     return texts.select("doc_id", x.alias("x")).select("doc_id", F.explode(scored).alias("e")).select("doc_id", "e.*")
@@ -32,7 +40,7 @@ def phrase_hits(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 def phrase_hits_automaton(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     """The same for large lexicons: one pass of an Aho-Corasick automaton over each text in Arrow batches; only hits > 0."""
-    entries = [(r["ord"], r["key"], r["signals"]) for r in lexicon.limit(MAX_LISTED).collect()]
+    entries = [(r["ord"], r["key"], r["signals"]) for r in _listed(lexicon)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
@@ -128,7 +136,7 @@ def is_food(texts: DataFrame, words: tuple[str, ...], moods: DataFrame) -> DataF
     """(doc_id, food): enough cooking words for the text's length, or a mood with them."""
     x = F.lower(F.coalesce(F.col("text"), F.lit("")))
     own = texts.select("doc_id", sum((count_of(x, F.lit(s)) for s in words), F.lit(0)).alias("mechanics"), word_count(x).alias("n"), x.alias("x"))
-    listed = moods.orderBy("ord").limit(MAX_LISTED).collect()
+    listed = _listed(moods)
     best = F.greatest(F.lit(0), *[sum((F.contains(F.col("x"), F.lit(s)).cast("int") for s in e["signals"]), F.lit(0)) for e in listed])
     own = own.withColumn("mood", best)
     hits = F.col("mechanics") + F.col("mood")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.text import WHITE, strip, word_count
+from foliant.functions.text import WHITE, strip, title_case, word_count
 
 # fixed values: line patterns of the Markdown dialect
 TASK = r"^(\s*)[-*]\s+\[([ xX])\]\s+(.+)$"
@@ -133,4 +133,4 @@ def plain_headings(lines: DataFrame) -> DataFrame:
     """Lines of plain text as Markdown: short lines in capitals become level-2 headings."""
     x = F.col("line")
     caps = (x == F.upper(x)) & (x != F.lower(x)) & (F.length(x) < 60) & (word_count(x) <= 6)
-    return lines.withColumn("markdown", F.when(caps, F.concat(F.lit("## "), F.initcap(x))).otherwise(x))
+    return lines.withColumn("markdown", F.when(caps, F.concat(F.lit("## "), title_case(x))).otherwise(x))

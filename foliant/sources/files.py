@@ -66,13 +66,14 @@ def to_text(files: DataFrame) -> DataFrame:
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, source_name, text) of a folder, ids by the hash of the path."""
-    own = to_text(read_files(spark, path)).where("text IS NOT NULL")
-    return own.select(F.xxhash64("path").alias("doc_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("source_name"), "text")
+    """(doc_id, source_name, text, error) of a folder, ids by the hash of the path; a file that cannot be read has a null text and says why."""
+    own = to_text(read_files(spark, path))
+    return own.select(F.xxhash64("path").alias("doc_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("source_name"), "text", "error")
 
 
 # --- HTML -------------------------------------------------------------------------------------
 
+# fixed values: the elements that are left out, and those that are read through
 DROPPED = {"script", "style", "head", "nav", "footer"}
 ENTERED = {"div", "section", "article", "main", "body", "header", "html"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
@@ -104,51 +105,85 @@ class _Tree(HTMLParser):
         self.open[-1][2].append(data)
 
 
-def _text(node: list | str) -> str:
-    if isinstance(node, str):
-        return node
-    return "" if node[0] in DROPPED else "".join(map(_text, node[2]))
+def _strings(node: list | str) -> Iterator[str]:
+    """The text parts below a node in page order."""
+    stack = [node]
+    while stack:
+        top = stack.pop()
+        if isinstance(top, str):
+            yield top
+        elif top[0] not in DROPPED:
+            stack.extend(reversed(top[2]))
+
+
+def _inline(node: list) -> str:
+    """The trimmed text parts of a node, one space between them."""
+    return " ".join(x for part in _strings(node) if (x := part.strip()))
+
+
+def _first(node: list, tag: str) -> list | None:
+    """The first node of a tag below this one, in page order."""
+    stack = list(reversed(node[2]))
+    while stack:
+        top = stack.pop()
+        if not isinstance(top, str) and top[0] not in DROPPED:
+            if top[0] == tag:
+                return top
+            stack.extend(reversed(top[2]))
+    return None
 
 
 def _image(node: list) -> str | None:
-    src = node[1].get("src") or ""
-    return f"![{node[1].get('alt') or ''}]({src})" if re.match(r"(?:https?:|data:)", src) else None
+    src = (node[1].get("src") or "").strip()
+    return f"![{(node[1].get('alt') or '').strip()}]({src})" if re.match(r"(?:https?://|data:)", src) else None
+
+
+def _blocks(node: list) -> Iterator[str | list]:
+    """The Markdown blocks of one element, or nodes whose children are read in its place."""
+    tag = node[0]
+    if tag in ENTERED:
+        yield node
+    elif re.fullmatch("h[1-6]", tag):
+        yield f"{'#' * int(tag[1])} {_inline(node)}"
+    elif tag == "p":
+        yield _inline(node) or (node if _first(node, "img") else "")
+    elif tag == "blockquote":
+        yield f"> {text}" if (text := _inline(node)) else ""
+    elif tag in ("ul", "ol"):
+        yield from (f"- {_inline(c)}" for c in node[2] if not isinstance(c, str) and c[0] == "li")
+    elif tag == "hr":
+        yield "---"
+    elif tag == "img":
+        yield _image(node) or ""
+    elif tag == "figcaption":
+        yield f"*{text}*" if (text := _inline(node)) else ""
+    elif tag == "pre":
+        yield f"```\n{code}\n```" if (code := "".join(_strings(node)).strip()) else ""
+    elif tag == "figure":
+        picture, caption = _first(node, "img"), _first(node, "figcaption")
+        if picture is None:
+            yield node
+        elif image := _image(picture):  # a picture that cannot be shown takes its caption with it
+            yield f"{image}\n*{text}*" if caption and (text := _inline(caption)) else image
 
 
 def html_markdown(source: str) -> str:
-    """Headings, paragraphs, quotes, lists, rules, code and figures; other tags go with all they hold."""
+    """Headings, paragraphs, quotes, list items, rules, code and figures, a blank line between them; other tags go with all they hold."""
     tree = _Tree()
     tree.feed(source)
     tree.close()
     out: list[str] = []
-    stack = [tree.root]
+    stack = list(reversed(tree.root[2]))
     while stack:
         node = stack.pop()
         if isinstance(node, str) or node[0] in DROPPED:
             continue
-        tag, plain = node[0], " ".join(_text(node).split())
-        if tag in ENTERED:
-            stack.extend(reversed(node[2]))
-        elif re.fullmatch(r"h[1-6]", tag):
-            out.append("#" * int(tag[1]) + " " + plain if plain else "")
-        elif tag == "p":
-            out.append(plain)
-            out += [x for c in node[2] if not isinstance(c, str) and c[0] == "img" and (x := _image(c))]
-        elif tag == "blockquote":
-            out.append(f"> {plain}" if plain else "")
-        elif tag in ("ul", "ol"):
-            out.append("\n".join(f"- {' '.join(_text(c).split())}" for c in node[2] if not isinstance(c, str) and c[0] == "li"))
-        elif tag == "hr":
-            out.append("---")
-        elif tag == "pre":
-            out.append(f"```\n{_text(node).strip()}\n```")
-        elif tag == "img":
-            out.append(_image(node) or "")
-        elif tag == "figcaption":
-            out.append(f"*{plain}*" if plain else "")
-        elif tag == "figure":
-            stack.extend(reversed([c for c in node[2] if not isinstance(c, str) and c[0] in ("img", "figcaption")]))
-    return "\n\n".join(x for x in out if x)
+        found = list(_blocks(node))
+        if found and isinstance(found[0], list):
+            stack.extend(reversed(found[0][2]))
+        else:
+            out += [x.strip() for x in found if x.strip()]
+    return "\n\n".join(out)
 
 
 def html_documents(pages: DataFrame) -> DataFrame:
