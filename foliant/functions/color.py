@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.text import channel
@@ -48,3 +48,48 @@ def is_gray(hex_color: Column) -> Column:
 def mixed(hex_color: Column, toward: int, share: float) -> Column:
     """A colour moved towards 0 or 255 by a share, channels cut to whole numbers."""
     return F.concat(F.lit("#"), *[F.format_string("%02X", F.floor(channel(hex_color, k) + (F.lit(toward) - channel(hex_color, k)) * share).cast("int")) for k in range(3)])
+
+
+def rgba(hex_color: Column, alpha: Column) -> Column:
+    """rgba(r, g, b, alpha) of #RRGGBB."""
+    return F.concat(F.lit("rgba("), F.concat_ws(", ", *[channel(hex_color, k).cast("string") for k in range(3)], alpha.cast("string")), F.lit(")"))
+
+
+def perceptual_shift(hue: Column) -> Column:
+    """What is added to a lightness so that hues look balanced: less for yellow and green, more for blue and violet."""
+    return F.when(hue.between(50, 160), F.lit(-0.05)).when(hue.between(220, 280), F.lit(0.03)).otherwise(F.lit(0.0))
+
+
+#: Fixed values of generated palettes, for dark and for light backgrounds: hue turn (a fixed hue for "warning",
+#: the second hue for "tertiary"), saturation factor, summand and limit, lightness, share of the perceptual
+#: shift and of the seed in it.
+DARK = {
+    "bg": (0, 0.55, 0.0, 0.42, 0.07, 0.3, 0.03), "text": (0, 0.18, 0.0, 0.14, 0.90, 1.0, 0.0), "border": (0, 0.4, 0.0, 0.32, 0.24, 0.0, 0.0), "muted": (0, 0.0, 0.12, 0.12, 0.58, 0.0, 0.0),
+    "accent": (0, 1.0, 0.2, 0.92, 0.60, 1.0, 0.0), "entity": (42, 1.0, 0.15, 0.85, 0.62, 0.0, 0.0), "callout": (108, 1.0, 0.1, 0.7, 0.48, 0.0, 0.0), "warning": (8, 0.0, 0.68, 0.68, 0.58, 0.0, 0.0),
+    "tertiary": (0, 1.0, 0.1, 0.75, 0.58, 0.0, 0.0),
+}
+LIGHT = {
+    "bg": (0, 0.4, 0.0, 0.32, 0.955, 0.15, -0.02), "text": (0, 0.25, 0.0, 0.2, 0.15, -0.3, 0.0), "border": (0, 0.35, 0.0, 0.26, 0.82, 0.0, 0.0), "muted": (0, 0.0, 0.15, 0.15, 0.44, 0.0, 0.0),
+    "accent": (0, 1.0, 0.12, 0.85, 0.40, 0.5, 0.0), "entity": (42, 1.0, 0.08, 0.75, 0.36, 0.0, 0.0), "callout": (108, 1.0, 0.05, 0.6, 0.30, 0.0, 0.0), "warning": (8, 0.0, 0.62, 0.62, 0.44, 0.0, 0.0),
+    "tertiary": (0, 1.0, 0.08, 0.7, 0.38, 0.0, 0.0),
+}
+COLORS = tuple(DARK)
+
+
+def with_palette(rows: DataFrame) -> DataFrame:
+    """rows of hue, sat, energy, seed and second_hue (or null) with dark_bg and color_<name> for each of COLORS."""
+    own = rows.withColumns({
+        "_h": F.pmod(F.col("hue") + (F.col("seed") - 0.5) * 30, F.lit(360.0)),
+        "_s": F.greatest(F.lit(0.15), F.least(F.lit(0.8), F.col("sat") * (0.82 + F.col("seed") * 0.4))),
+        "dark_bg": is_dark(F.col("energy"), F.col("seed")),
+    })
+    own = own.withColumns({"_shift": perceptual_shift(F.col("_h")), "_t": F.pmod(F.coalesce("second_hue", F.col("_h") + 195), F.lit(360.0))})
+
+    def color(name: str, spec: tuple[float, ...]) -> Column:
+        turn, factor, plus, most, light, of_shift, of_seed = spec
+        hue = F.lit(float(turn)) if name == "warning" else F.col("_t") if name == "tertiary" else F.pmod(F.col("_h") + turn, F.lit(360.0))
+        sat = F.least(F.col("_s") * factor + plus, F.lit(most))
+        return hsl_hex(hue, sat, F.lit(light) + F.col("_shift") * of_shift + F.col("seed") * of_seed)
+
+    own = own.withColumns({f"color_{n}": F.when(F.col("dark_bg"), color(n, DARK[n])).otherwise(color(n, LIGHT[n])) for n in COLORS})
+    return own.drop("_h", "_s", "_shift", "_t")

@@ -66,12 +66,52 @@ def plain_page_text(x: Column) -> Column:
 
 
 def normal_hex(x: Column) -> Column:
-    """#RRGGBB in upper case from 3 or 6 hexadecimal digits; else null."""
-    digits = F.upper(F.regexp_replace(x, "^#", ""))
-    short = F.concat(*[F.repeat(F.substring(digits, k, 1), 2) for k in (1, 2, 3)])
-    return F.when(digits.rlike("^[0-9A-F]{6}$"), F.concat(F.lit("#"), digits)).when(digits.rlike("^[0-9A-F]{3}$"), F.concat(F.lit("#"), short))
+    """A colour with a leading # in upper case; three digits are doubled, other lengths stay as they are."""
+    own = strip(x)
+    own = F.when(F.startswith(own, F.lit("#")), own).otherwise(F.concat(F.lit("#"), own))
+    doubled = F.concat(F.lit("#"), *[F.repeat(F.substring(own, k, 1), 2) for k in (2, 3, 4)])
+    return F.upper(F.when(F.length(own) == 4, doubled).otherwise(own))
 
 
 def channel(hex_color: Column, k: int) -> Column:
     """Red, green or blue (0, 1, 2) of #RRGGBB."""
     return F.conv(F.substring(hex_color, 2 + 2 * k, 2), 16, 10).cast("int")
+
+
+def without_private_marks(x: Column) -> Column:
+    """A private-use character at the start, as bullets of some fonts are, becomes "- "; others go."""
+    return F.regexp_replace(F.regexp_replace(x, r"^[\x{E000}-\x{F8FF}]\s*", "- "), r"[\x{E000}-\x{F8FF}]", "")
+
+
+def pretty_label(key: Column) -> Column:
+    """"parent/leaf + other" as "leaf (parent) + other"; only the first slash of a part counts."""
+
+    def one(part: Column) -> Column:
+        own = strip(part)
+        at = F.instr(own, "/")
+        return F.when(at > 0, F.concat(F.substr(own, at + 1), F.lit(" ("), F.substring_index(own, "/", 1), F.lit(")"))).otherwise(own)
+
+    return F.array_join(F.transform(F.split(key, r" \+ "), one), " + ")
+
+
+# fixed values: parts of font names
+MONO_FONTS = "mono|courier|consolas"
+SERIF_FONTS = "serif|fraunces|cinzel|playfair|lora|crimson|georgia|garamond|baskerville|merriweather|times"
+
+
+def font_class(name: Column) -> Column:
+    """mono, serif or sans, by parts of the family's name; null counts as sans."""
+    own = F.lower(F.coalesce(name, F.lit("")))
+    return F.when(own.rlike(MONO_FONTS), "mono").when(own.rlike(SERIF_FONTS), "serif").otherwise("sans")
+
+
+def margin_motif(glyph: Column) -> Column:
+    """The ornament of page margins: three dashes, the glyph shown as text, three dashes."""
+    rule = F.lit("\u2500" * 3)
+    return F.concat(rule, F.lit("  "), glyph, F.lit("\ufe0e  "), rule)
+
+
+def density(x: Column) -> Column:
+    """An ornament density given as text, as a whole number of 0..4; 2 where it is none."""
+    number = F.when(strip(x).rlike(r"^[+-]?\d{1,18}$"), strip(x).cast("long"))
+    return F.when(number.isNull(), 2).otherwise(F.least(F.greatest(number, F.lit(0)), F.lit(4))).cast("int")

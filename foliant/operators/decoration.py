@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Moods and their words, our own; the first mood wins among equals.
@@ -14,6 +14,27 @@ ICONS = (("crown", "crown keep"), ("compass", "north south map"), ("book", "rese
 FALLBACKS = ("dots", "lines", "waves")
 
 
+# fixed values: the styles of ornaments and the glyph of each
+STYLES = {
+    "sparkle": "✦", "botanical": "❦", "star": "✺", "diamond": "◆", "flourish": "⚜", "celebration": "✹", "elegant": "❃", "vintage": "☙", "celestial": "☆", "moonlit": "☾", "nature": "❀", "leaf": "☘", "snow": "❆", "holiday": "❄",
+    "spooky": "☾", "gothic": "†", "nautical": "⚓", "adventure": "⚔", "royal": "♛", "hearts": "♥", "academic": "❧", "minimal": "•", "geometric": "◆", "cosmic": "✷", "music": "♪", "crown": "♔", "lightning": "⚡", "infinity": "∞",
+    "clover": "❁", "gem": "♢", "scroll": "❊", "dots": "⁘", "asterism": "⁂", "target": "◎", "cross": "✚",
+}
+DEFAULT_STYLE = "sparkle"
+
+
+def resolved_style(requested: Column, found: Column) -> Column:
+    """A known style that is asked for; else the one found for the document; else the default."""
+    return F.when(requested.isin(*STYLES), requested).otherwise(F.coalesce(found, F.lit(DEFAULT_STYLE)))
+
+
+def glyph(style: Column) -> Column:
+    mark: Column = F.lit(STYLES[DEFAULT_STYLE])
+    for name, own in STYLES.items():
+        mark = F.when(style == name, own).otherwise(mark)
+    return mark
+
+
 def mood(blocks: DataFrame, opening: int = 40) -> DataFrame:
     """(doc_id, mood): the mood with most words in the first blocks, or none of score 0."""
     words = blocks.where(F.col("seq") < opening).select("doc_id", F.explode(F.split(F.lower("content"), r"[^\p{L}\p{N}_]+")).alias("w"))

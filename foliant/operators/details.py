@@ -66,11 +66,27 @@ def css_rules(pages: DataFrame, html: str = "html") -> DataFrame:
     return pairs.groupBy("page_id", "selector", "prop").agg(F.max_by("value", F.struct("at", "k")).alias("value"))
 
 
-def aligned_cells(lines: DataFrame) -> DataFrame:
-    """(doc_id, line_no, cells): lines of text columns parted by tabs or three spaces, as trimmed cells."""
-    x = F.col("line")
-    cells = F.filter(F.transform(F.when(F.contains(x, F.lit("\t")), F.split(x, r"\t")).otherwise(F.split(x, r" {3,}")), strip), lambda c: c != "")
-    return lines.where(x.rlike(r"\t| {3,}")).select("doc_id", "line_no", cells.alias("cells"))
+def aligned_tables(texts: DataFrame) -> DataFrame:
+    """(doc_id, markdown): texts of columns parted by tabs or three spaces as pipe tables, short rows filled up.
+
+    A text without any cell stays as it is.
+    """
+    parts = lambda row: F.when(F.contains(row, F.lit("\t")), F.split(row, r"\t")).otherwise(F.split(row, r" {3,}"))
+    cells = lambda row: F.filter(F.transform(parts(row), strip), lambda c: c != "")
+    rows = F.filter(F.transform(F.split(strip(F.col("text")), r"\r\n|\n|\r"), cells), lambda r: F.size(r) > 0)
+    own = texts.select("doc_id", "text", rows.alias("rows")).withColumn("wide", F.coalesce(F.array_max(F.transform("rows", F.size)), F.lit(0)))
+    line = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(r, F.array_repeat(F.lit(""), F.col("wide") - F.size(r))), " | "), F.lit(" |"))
+    lines = F.transform("rows", line)
+    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.col("wide")), " | "), F.lit(" |"))
+    whole = F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, F.greatest(F.size("rows") - 1, F.lit(0)))), "\n")
+    return own.select("doc_id", F.when(F.col("wide") > 0, whole).otherwise(F.col("text")).alias("markdown"))
+
+
+def inline_signals(texts: DataFrame) -> DataFrame:
+    """(doc_id, part, text): paragraphs cut before the signals that follow a sentence's end."""
+    own = F.regexp_replace("text", r"(?i)\.\s+((?:Important|Critical|Warning|Danger|Note|Key Rule)\s*[:\-])", ".\n$1")
+    parts = F.filter(F.transform(F.split(own, r"\r\n|\n|\r"), strip), lambda x: x != "")
+    return texts.select("doc_id", F.posexplode(F.when(F.size(parts) > 0, parts).otherwise(F.array("text"))).alias("part", "text"))
 
 
 def raw_markdown(classified: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.functions.text import strip
+
 
 def body_size(words: DataFrame) -> DataFrame:
     """(doc_id, size): the font size with most characters, the smaller among equals."""
@@ -103,6 +105,27 @@ def left_margin(lines: DataFrame, tolerance: float = 3.0) -> DataFrame:
     return own.where((F.col("k") <= 3) & (F.col("n") >= F.col("most") * 0.2)).groupBy("doc_id").agg(F.min("margin").alias("margin"))
 
 
+def column_margins(lines: DataFrame, tolerance: float = 3.0) -> DataFrame:
+    """(doc_id, col, margin): the left margin of each column of a document."""
+    own = lines.withColumnsRenamed({"doc_id": "_doc"}).withColumn("doc_id", F.struct("_doc", "col"))
+    return left_margin(own, tolerance).select(F.col("doc_id._doc").alias("doc_id"), F.col("doc_id.col").alias("col"), "margin")
+
+
+def without_folios(lines: DataFrame, factor: float = 1.6) -> DataFrame:
+    """lines without page numbers: a number that is a page's only line, or its last one further below than usual.
+
+    Usual is the upper median of the page's positive gaps; without one a last number goes.
+    """
+    page = Window.partitionBy("doc_id", "page")
+    w = page.orderBy("line")
+    own = lines.withColumns({"_gap": F.col("top") - F.lag("top").over(w), "_last": F.max("line").over(page), "_n": F.count("*").over(page)})
+    gaps = own.where("_gap > 0").groupBy("doc_id", "page").agg(F.array_sort(F.collect_list("_gap")).alias("_g"))
+    usual = gaps.select("doc_id", "page", F.element_at("_g", F.floor(F.size("_g") / 2).cast("int") + 1).alias("_usual"))
+    own = own.join(usual, ["doc_id", "page"], "left")
+    folio = (F.col("line") == F.col("_last")) & strip(F.col("text")).rlike(r"^\d+$") & ((F.col("_n") == 1) | F.col("_usual").isNull() | (F.col("_gap") > F.col("_usual") * factor))
+    return own.where(~folio).drop("_gap", "_last", "_n", "_usual")
+
+
 def dehyphenated(lines: DataFrame) -> DataFrame:
     """lines with ``joined``: a line that ends in a hyphen takes the next line's first word, which leaves that line."""
     w = Window.partitionBy("doc_id", "page").orderBy("line")

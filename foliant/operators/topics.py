@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.text import strip
+from foliant.functions.text import html_escaped, inline_html, strip, title_case
+from foliant.operators import images
 
 # fixed values: the round of slide layouts
 LAYOUTS = ("split_right", "full_header", "two_column", "card_grid", "split_left", "stat_spotlight", "timeline_flow", "quote_full")
@@ -102,8 +103,6 @@ def field_labels(blocks: DataFrame) -> DataFrame:
 
 def html(blocks: DataFrame) -> DataFrame:
     """(doc_id, html): each block by its type's template, in order; important ones are marked."""
-    from foliant.functions.text import html_escaped, inline_html
-
     c = inline_html(F.col("content"))
     mark = F.when(F.col("importance") >= 70, ' class="high"').when(F.col("importance") >= 40, ' class="med"').otherwise("")
     items = F.concat(F.lit("<li>"), F.replace(c, F.lit("\n"), F.lit("</li><li>")), F.lit("</li>"))
@@ -114,3 +113,67 @@ def html(blocks: DataFrame) -> DataFrame:
     )
     rows = blocks.select("doc_id", "seq", body.alias("x"))
     return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "x"))), lambda y: y["x"]), "\n").alias("html"))
+
+
+def _wrapped(open_tag: str | Column, x: Column, close_tag: str) -> Column:
+    return F.concat(F.lit(open_tag) if isinstance(open_tag, str) else open_tag, x, F.lit(close_tag))
+
+
+def _classed(start: str, importance: Column, end: str) -> Column:
+    return F.concat(F.lit(start), importance, F.lit(end))
+
+
+def table_html(raw: Column) -> Column:
+    """A pipe table as HTML: the first row is its head; blank rows do not count, a text without rows is empty."""
+    rows = F.filter(F.split(strip(raw), r"\r\n|\n|\r"), lambda r: strip(r) != "")
+
+    def row(r: Column, k: Column) -> Column:
+        cells = F.transform(F.split(F.regexp_replace(r, r"^\|+|\|+$", ""), r"\|"), lambda c: html_escaped(strip(c)))
+        head = F.concat(F.lit("<thead><tr><th>"), F.array_join(cells, "</th><th>"), F.lit("</th></tr></thead><tbody>"))
+        return F.when(k == 0, head).otherwise(F.concat(F.lit("<tr><td>"), F.array_join(cells, "</td><td>"), F.lit("</td></tr>")))
+
+    return F.when(F.size(rows) > 0, F.concat(F.lit("<table>\n"), F.array_join(F.transform(rows, row), "\n"), F.lit("\n</tbody></table>"))).otherwise("")
+
+
+def block_html(blocks: DataFrame) -> DataFrame:
+    """blocks (type, level, content, importance, src, caption) with ``html``, each by the template of its type.
+
+    An image's content is its alternative text. A task is open unless a column ``checked`` says
+    otherwise; its sub-tasks are blocks of their own. Unknown types become paragraphs.
+    """
+    c = inline_html(F.col("content"))
+    strong = F.when(F.col("importance") >= 70, "importance-high").when(F.col("importance") >= 40, "importance-med").otherwise("")
+    level = F.least(F.greatest(F.col("level"), F.lit(1)), F.lit(6)).cast("string")
+    items = F.transform(F.filter(F.split("content", "\n"), lambda i: strip(i) != ""), lambda i: _wrapped("<li>", inline_html(strip(i)), "</li>"))
+    done = F.coalesce(F.col("checked"), F.lit(False)) if "checked" in blocks.columns else F.lit(False)
+    box = F.concat(F.lit('"><label class="task-row'), F.when(done, " checked").otherwise(""), F.lit('"><input type="checkbox" disabled'), F.when(done, " checked").otherwise(""), F.lit("><span>"))
+    templates = {
+        "heading": F.concat(F.lit("<h"), level, F.lit(">"), c, F.lit("</h"), level, F.lit(">")),
+        "entity": _wrapped(_classed('<div class="entity-card entity ', strong, '"><div class="entity-name">'), c, "</div></div>"),
+        "callout": _wrapped(_classed('<div class="callout ', strong, '">'), c, "</div>"),
+        "warning": _wrapped(_classed('<div class="warning ', strong, '">'), c, "</div>"),
+        "timeline_event": _wrapped('<div class="timeline-event timeline">', c, "</div>"),
+        "task": _wrapped(F.concat(F.lit('<div class="task-item '), strong, box), c, "</span></label></div>"),
+        "relationship": _wrapped('<p class="relationship">', c, "</p>"),
+        "definition": _wrapped('<div class="definition">', c, "</div>"),
+        "quote": _wrapped("<blockquote>", c, "</blockquote>"),
+        "code": _wrapped("<pre><code>", html_escaped(F.col("content")), "</code></pre>"),
+        "list": _wrapped("<ul>", F.array_join(items, ""), "</ul>"),
+        "table": table_html(F.col("content")),
+        "reference": _wrapped('<p class="reference">↗ ', c, "</p>"),
+        "divider": F.lit("<hr>"),
+        "image": F.col("_image.figure"),
+    }
+    html: Column = _wrapped(_classed('<p class="', strong, '">'), c, "</p>")
+    for kind, template in templates.items():
+        html = F.when(F.col("type") == kind, template).otherwise(html)
+    figures = images.resolved(blocks.select("*", F.struct("content", "caption").alias("_own")).withColumns({"alt": F.col("content"), "content": F.lit("")}))
+    own = figures.withColumn("_image", F.struct("figure")).withColumns({"content": F.col("_own.content")})
+    return own.withColumn("html", html).withColumn("caption", F.col("_own.caption")).drop("_image", "_own", "alt", "size_class", "figure")
+
+
+def document_titles(files: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(doc_id, title): the first heading or entity of level 1; else the file's name without its ending in title case."""
+    first = blocks.where(F.col("type").isin("heading", "entity") & (F.col("level") == 1)).groupBy("doc_id").agg(F.min_by("content", "seq").alias("title"))
+    stem = F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"(?<=[^.])\.[^.]*$", "")
+    return files.join(first, "doc_id", "left").select("doc_id", F.coalesce("title", title_case(F.replace(stem, F.lit("_"), F.lit(" ")))).alias("title"))
