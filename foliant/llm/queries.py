@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import bpe, decontam, html_extract, line_dedup, ngram_join, quality, secrets, substring_dedup, token_files, url_filter
+from foliant.llm import bpe, decontam, html_extract, language_id, line_dedup, merkle, ngram_join, quality, secrets, substring_dedup, token_files, url_filter, whitening
 from foliant.llm.common import bounded
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,9 @@ def queries() -> dict[str, Query]:
         "op8_secret_scans": secrets.query,
         "op9_quality_rules": quality.query,
         "op10_token_files": token_files.query,
+        "op11_language_id": language_id.query,
+        "op12_embedding_whitening": whitening.query,
+        "op13_merkle_manifest": merkle.query,
     }
     return {name: _bounded(query) for name, query in found.items()}
 
@@ -41,4 +44,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_line_dedup": line_dedup.SQL,
         "op4_url_filters": url_filter.SQL,
+        "op13_merkle_manifest": merkle.SQL,
     }
