@@ -188,7 +188,8 @@ def manifest(docs: DataFrame) -> DataFrame:
     root = found.first()["hash"]
     above = tops.select(F.col("source").alias("tree"), _no_levels().alias("up"), F.col("hash").alias("root"))
     if top_runs:
-        lowest = descended(top_runs, spark.range(1).select(F.lit("").alias("tree"), _no_levels().alias("up"), F.lit(root).alias("root")))
+        top = found.select("tree", _no_levels().alias("up"), F.col("hash").alias("root"))
+        lowest = descended(top_runs, top)
         each = lowest.select("members", "up", F.posexplode("members").alias("at", "m"))
         above = each.select(F.col("m.source").alias("tree"), F.concat(F.array(_sides(F.col("members"), F.col("at"))), F.col("up")).alias("up"), F.col("m.hash").alias("root"))
     above = scratch.table(above, "above")
