@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
@@ -38,39 +35,6 @@ def phrase_hits(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     return texts.select("doc_id", x.alias("x")).select("doc_id", F.explode(scored).alias("e")).select("doc_id", "e.*")
 
 
-def phrase_hits_automaton(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """The same for large lexicons: one pass of an Aho-Corasick automaton over each text in Arrow batches; only hits > 0."""
-    entries = [(r["ord"], r["key"], r["signals"]) for r in _listed(lexicon)]
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        machine = ahocorasick.Automaton()
-        owners: dict[str, list[tuple[int, str]]] = {}
-        for k, key, signals in entries:
-            for s in signals:
-                owners.setdefault(s, []).append((k, key))
-        for s in owners:
-            machine.add_word(s, s)
-        machine.make_automaton()
-        for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                last: dict[str, int] = {}
-                counts: dict[tuple[int, str], int] = {}
-                for end, s in machine.iter((text or "").lower()):
-                    if end - len(s) >= last.get(s, -1):  # matches of one signal do not overlap
-                        last[s] = end
-                        for owner in owners[s]:
-                            counts[owner] = counts.get(owner, 0) + 1
-                rows += [(doc, k, key, n) for (k, key), n in counts.items()]
-            if rows:
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(cols[0], pa.int64()), "ord": pa.array(cols[1], pa.int32()), "key": pa.array(cols[2], pa.string()), "hits": pa.array(cols[3], pa.int64())})
-
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, ord int, key string, hits long")
-
-
 def length_factor(words: Column, cap: bool) -> Column:
     """Three hundred words make one unit, 0.3 at least and, if capped, 20 at most."""
     units = words / 300

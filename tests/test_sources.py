@@ -1,6 +1,7 @@
 import time
 
 from foliant.operators import lexicon as X
+from foliant.operators import signals as S
 from foliant.plans.structure_queries import typed
 from foliant.sinks import writers
 from foliant.sources import files, themes
@@ -36,7 +37,7 @@ def test_themes(spark, tmp_path):
 def test_lexicon_ways_agree(spark):
     docs = spark.createDataFrame([(1, "There the theatre than sea sea"), (2, None), (3, "aaaa")], "doc_id long, text string")
     own = {(r["doc_id"], r["key"]): r["hits"] for r in X.phrase_hits(docs, seed_lexicon(spark)).where("hits > 0").collect()}
-    other = {(r["doc_id"], r["key"]): r["hits"] for r in X.phrase_hits_automaton(docs, seed_lexicon(spark)).collect()}
+    other = {(r["doc_id"], r["key"]): r["hits"] for r in S.hits(docs, S.signal_table(seed_lexicon(spark)), shard_bytes=20).collect()}
     assert own == other and own[1, "voyage"] == 3
 
 
