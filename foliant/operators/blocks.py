@@ -94,20 +94,27 @@ def _joined(x: str, sep: str) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.col(x).alias("x")))), lambda y: y["x"]), sep)
 
 
+def _indent(x: Column) -> Column:
+    """Columns that leading white space takes; a tab goes on to the next multiple of four."""
+    return F.aggregate(F.split(x, ""), F.lit(0), lambda at, c: F.when(c == "", at).when(c == "\t", (F.floor(at / 4).cast("int") + 1) * 4).otherwise(at + 1))
+
+
 def tasks(lines: DataFrame) -> DataFrame:
     """(doc_id, line_no, depth, checked, text, parent, root, flush): the task tree as rows.
 
-    The parent is the nearest line before, in the same run, with a smaller depth; depths are
-    below 16. A chain of nearest smaller depths ends at the run's last line of depth minimum,
-    so the root is found by the running count of lines without a parent.
+    The parent is the nearest line before, in the same run, with a smaller depth. A task of
+    depth d asks for the last line of each smaller depth: d rows, fewer than the characters
+    of its indent, however deep. A chain of nearest smaller depths ends at the run's last
+    line without a parent, so the root is found by their running maximum.
     """
     own = _runs(lines, "task")
-    indent = F.length(F.replace(F.regexp_extract("raw", L.TASK, 1), F.lit("\t"), F.lit("    ")))
-    own = own.withColumns({"depth": F.least(F.floor(indent / 2), F.lit(15)).cast("int"), "checked": F.lower(F.regexp_extract("raw", L.TASK, 2)) == "x", "text": strip(F.regexp_extract("raw", L.TASK, 3))})
+    own = own.withColumns({"depth": F.floor(_indent(F.regexp_extract("raw", L.TASK, 1)) / 2).cast("int"), "checked": F.lower(F.regexp_extract("raw", L.TASK, 2)) == "x", "text": strip(F.regexp_extract("raw", L.TASK, 3))})
+    asked = own.select("doc_id", "island", "line_no", F.explode(F.sequence(F.lit(0), F.col("depth"))).alias("level"), "depth")
+    before = Window.partitionBy("doc_id", "island", "level").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    at_level = asked.withColumn("last", F.max(F.when(F.col("level") == F.col("depth"), F.col("line_no"))).over(before))
+    parents = at_level.where("level < depth").groupBy("doc_id", "line_no").agg(F.max("last").alias("parent"))
+    own = own.join(parents, ["doc_id", "line_no"], "left")
     w = Window.partitionBy("doc_id", "island").orderBy("line_no")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    parent = F.greatest(*[F.when(F.col("depth") > d, F.max(F.when(F.col("depth") == d, F.col("line_no"))).over(before)) for d in range(15)], F.lit(None))
-    own = own.withColumn("parent", parent)
     root = F.max(F.when(F.col("parent").isNull(), F.col("line_no"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return own.select("doc_id", "line_no", "depth", "checked", "text", "parent", root.alias("root"), "flush")
 
@@ -126,7 +133,7 @@ def _single(lines: DataFrame) -> DataFrame:
         return F.coalesce(*[F.when(x.rlike(p), F.regexp_extract(x, p, 1)) for p in patterns])
 
     content = (
-        F.when(F.col("kind") == "heading", name).when(F.col("kind") == "image", F.regexp_extract(x, L.IMAGE, 1)).when(F.col("kind") == "quote", strip(F.substring(x, 3, 1_000_000)))
+        F.when(F.col("kind") == "heading", name).when(F.col("kind") == "image", F.regexp_extract(x, L.IMAGE, 1)).when(F.col("kind") == "quote", strip(F.substr(x, F.lit(3))))
         .when(F.col("kind") == "callout", strip(first_group(L.CALLOUTS))).when(F.col("kind") == "warning", strip(first_group(L.WARNINGS))).otherwise(x)
     )
     out = own.where(F.col("kind").isin("heading", "image", "divider", "quote", "callout", "warning", "relationship", "timeline_event", "definition"))

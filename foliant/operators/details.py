@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.color import seed_int
-from foliant.functions.text import strip, title_case
+from foliant.functions.text import strip
 
 
 def split_once(x: Column, sep: str) -> tuple[Column, Column]:
@@ -66,53 +66,70 @@ def css_rules(pages: DataFrame, html: str = "html") -> DataFrame:
     return pairs.groupBy("page_id", "selector", "prop").agg(F.max_by("value", F.struct("at", "k")).alias("value"))
 
 
+def pipe_table(rows: Column) -> Column:
+    """Lines of columns parted by tabs or three spaces as a pipe table, short rows filled up; null if there is no cell."""
+    parts = lambda row: F.when(F.contains(row, F.lit("\t")), F.split(row, r"\t")).otherwise(F.split(row, r" {3,}"))
+    cells = F.filter(F.transform(rows, lambda row: F.filter(F.transform(parts(row), strip), lambda c: c != "")), lambda r: F.size(r) > 0)
+    wide = F.array_max(F.transform(cells, F.size))
+    line = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(r, F.array_repeat(F.lit(""), wide - F.size(r))), " | "), F.lit(" |"))
+    lines = F.transform(cells, line)
+    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), wide), " | "), F.lit(" |"))
+    whole = F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, F.greatest(F.size(cells) - 1, F.lit(0)))), "\n")
+    return F.when(F.size(cells) > 0, whole)
+
+
 def aligned_tables(texts: DataFrame) -> DataFrame:
-    """(doc_id, markdown): texts of columns parted by tabs or three spaces as pipe tables, short rows filled up.
+    """(doc_id, markdown): texts of aligned columns as pipe tables; a text without any cell stays as it is."""
+    return texts.select("doc_id", F.coalesce(pipe_table(F.split(strip(F.col("text")), r"\r\n|\n|\r")), F.col("text")).alias("markdown"))
 
-    A text without any cell stays as it is.
-    """
-    parts = lambda row: F.when(F.contains(row, F.lit("\t")), F.split(row, r"\t")).otherwise(F.split(row, r" {3,}"))
-    cells = lambda row: F.filter(F.transform(parts(row), strip), lambda c: c != "")
-    rows = F.filter(F.transform(F.split(strip(F.col("text")), r"\r\n|\n|\r"), cells), lambda r: F.size(r) > 0)
-    own = texts.select("doc_id", "text", rows.alias("rows")).withColumn("wide", F.coalesce(F.array_max(F.transform("rows", F.size)), F.lit(0)))
-    line = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(r, F.array_repeat(F.lit(""), F.col("wide") - F.size(r))), " | "), F.lit(" |"))
-    lines = F.transform("rows", line)
-    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.col("wide")), " | "), F.lit(" |"))
-    whole = F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, F.greatest(F.size("rows") - 1, F.lit(0)))), "\n")
-    return own.select("doc_id", F.when(F.col("wide") > 0, whole).otherwise(F.col("text")).alias("markdown"))
+
+def signal_parts(text: Column) -> Column:
+    """The parts of a paragraph, cut before the signals that follow a sentence's end."""
+    own = F.regexp_replace(text, r"(?i)\.\s+((?:Important|Critical|Warning|Danger|Note|Key Rule)\s*[:\-])", ".\n$1")
+    parts = F.filter(F.transform(F.split(own, r"\r\n|\n|\r"), strip), lambda x: x != "")
+    return F.when(F.size(parts) > 0, parts).otherwise(F.array(text))
 
 
 def inline_signals(texts: DataFrame) -> DataFrame:
     """(doc_id, part, text): paragraphs cut before the signals that follow a sentence's end."""
-    own = F.regexp_replace("text", r"(?i)\.\s+((?:Important|Critical|Warning|Danger|Note|Key Rule)\s*[:\-])", ".\n$1")
-    parts = F.filter(F.transform(F.split(own, r"\r\n|\n|\r"), strip), lambda x: x != "")
-    return texts.select("doc_id", F.posexplode(F.when(F.size(parts) > 0, parts).otherwise(F.array("text"))).alias("part", "text"))
+    return texts.select("doc_id", F.posexplode(signal_parts(F.col("text"))).alias("part", "text"))
+
+
+#: Neighbouring lines with one of these tags are one item.
+MERGED = ("list_item", "ordered_item", "table_row", "para")
+
+
+def raw_items(classified: DataFrame) -> DataFrame:
+    """(doc_id, item, tag, contents): classified raw lines in which neighbours of one kind are one item.
+
+    A line starts an item unless it goes on with the tag of the line before and that tag merges. A table of one row
+    is a paragraph of its own, also beside others.
+    """
+    w = Window.partitionBy("doc_id").orderBy("line_no")
+    goes_on = F.col("tag").isin(*MERGED) & (F.lag("tag").over(w) == F.col("tag"))
+    own = classified.withColumn("item", F.sum((~F.coalesce(goes_on, F.lit(False))).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    contents = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "content"))), lambda x: x["content"])
+    items = own.groupBy("doc_id", "item", "tag").agg(contents.alias("contents"))
+    single = (F.col("tag") == "table_row") & (F.size("contents") == 1)
+    return items.withColumn("tag", F.when(single, "para").when(F.col("tag").isin("list_item", "ordered_item"), "list").when(F.col("tag") == "table_row", "table").otherwise(F.col("tag")))
 
 
 def raw_markdown(classified: DataFrame) -> DataFrame:
-    """(doc_id, line_no, markdown): classified raw lines as pseudo-Markdown.
+    """(doc_id, markdown): classified raw lines as the Markdown that the block parser reads.
 
-    The first heading of level 2 becomes the title if no level-1 heading stands before it;
-    neighbouring items, rows and paragraphs keep together as they follow without a blank.
+    The first heading of level 1 or 2 is the title. Every item is followed by an empty line.
     """
-    w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("doc_id").orderBy("item").rowsBetween(Window.unboundedPreceding, 0)
     top = F.sum(F.col("tag").isin("h1", "h2").cast("int")).over(w)
-    x = F.col("line")
-    label = strip(F.regexp_replace(x, r":\s*$", ""))
-    letters = F.regexp_replace(x, r"[^a-zA-Z\s]", "")
-    text = F.when((letters == F.upper(letters)) & (strip(letters) != ""), title_case(label)).otherwise(label)
-    out = (
-        F.when(F.col("tag") == "blank", "").when(F.col("tag") == "h1", F.concat(F.lit("# "), text)).when((F.col("tag") == "h2") & (top == 1), F.concat(F.lit("# "), text)).when(F.col("tag") == "h2", F.concat(F.lit("## "), text))
-        .when(F.col("tag").isin("h3", "h3_entity"), F.concat(F.lit("### "), text)).when(F.col("tag") == "timeline", F.concat(F.lit("- "), x)).when(F.col("tag") == "quote", F.concat(F.lit("> "), x))
-        .when(F.col("tag") == "list_item", F.concat(F.lit("- "), F.regexp_replace(x, r"^[-•*·→▸▹]\s+", ""))).when(F.col("tag") == "ordered_item", F.regexp_replace(x, r"^(\d+)[.):]\s+", "$1. ")).otherwise(x)
+    one, tag = F.element_at("contents", 1), F.col("tag")
+    text = (
+        F.when(tag == "list", F.array_join(F.transform("contents", lambda x: F.concat(F.lit("- "), x)), "\n"))
+        .when(tag == "table", F.coalesce(pipe_table(F.col("contents")), F.array_join("contents", "\n")))
+        .when(tag == "para", F.array_join(signal_parts(F.array_join("contents", " ")), "\n"))
+        .when((tag == "h1") | ((tag == "h2") & (top == 1)), F.concat(F.lit("# "), one)).when(tag == "h2", F.concat(F.lit("## "), one))
+        .when(tag.isin("h3", "h3_entity"), F.concat(F.lit("### "), one)).when(tag == "timeline", F.concat(F.lit("- "), one))
+        .when(tag == "quote", F.concat(F.lit("> "), one)).otherwise(one)
     )
-    return classified.select("doc_id", "line_no", out.alias("markdown"))
-
-
-def drop_caps(lines: DataFrame) -> DataFrame:
-    """lines with ``merged``: a line of one capital letter joins the line behind it and goes."""
-    w = Window.partitionBy("doc_id", "page").orderBy("line")
-    cap = F.col("text").rlike("^[A-Z]$")
-    before = F.lag("text").over(w)
-    own = lines.withColumns({"_cap": cap & F.lead("text").over(w).isNotNull(), "_before": F.when(before.rlike("^[A-Z]$"), before)})
-    return own.where(~F.col("_cap")).withColumn("merged", F.concat(F.coalesce("_before", F.lit("")), F.col("text"))).drop("_cap", "_before")
+    lines = raw_items(classified).select("doc_id", "item", text.alias("x"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item", "x"))), lambda y: y["x"]), "\n\n")
+    return lines.groupBy("doc_id").agg(F.concat(whole, F.lit("\n")).alias("markdown"))

@@ -52,7 +52,7 @@ def input_mode(docs: DataFrame) -> DataFrame:
 
 def titles(lines: DataFrame) -> DataFrame:
     """(doc_id, title): the first level-1 heading that is no front matter."""
-    name = strip(F.substring("line", 3, 1_000_000))
+    name = strip(F.substr("line", F.lit(3)))
     good = F.col("line").startswith("# ") & ~F.regexp_replace(F.lower(name), r"[.:]+$", "").isin(*NON_TITLES)
     return lines.groupBy("doc_id").agg(F.coalesce(F.min_by(F.when(good, name), F.when(good, F.col("line_no"))), F.lit("Untitled Document")).alias("title"))
 
@@ -95,6 +95,8 @@ RAW_RULES = (
     ("ordered_item", r"^(\d+)[.):]\s+(.+)"),
     ("list_item", r"^[-•*·→▸▹]\s+(.+)"),
 )
+#: The group of an item's pattern that is its text.
+RAW_ITEMS = {"ordered_item": 2, "list_item": 1}
 HEADING_WORDS = (
     r"(?i)^(?:Introduction|Overview|Summary|Background|Conclusion|Abstract|Appendix|References|Methods?|Results?|Discussion|Analysis|Part|Chapter|Section|Contents?|Index|Preface|Foreword|"
     r"Characters?|Locations?|Timeline|Rules?|Notes?|Settings?|Findings?|Recommendations?|Objectives?)\b"
@@ -104,7 +106,7 @@ RAW_DEFINITION = r"^([A-Z][a-zA-Z\s]{1,30})\s*[:\-–]\s+([A-Z].{10,})"
 
 
 def classify_raw(lines: DataFrame) -> DataFrame:
-    """lines with ``tag`` of the classifier of unformatted text; short lines are judged by the document's mean."""
+    """lines with ``tag`` and ``content`` of the classifier of unformatted text; short lines are judged by the document's mean."""
     x = F.col("line")
     w = Window.partitionBy("doc_id").orderBy("line_no")
     own = lines.join(line_stats(lines).select("doc_id", "short_limit"), "doc_id").withColumn("after_blank", F.coalesce(F.lag("line").over(w), F.lit("")) == "")
@@ -114,19 +116,24 @@ def classify_raw(lines: DataFrame) -> DataFrame:
     labelled = x.rlike(COLON_LABEL)
     titled = F.forall(F.split(x, rf"{WHITE}+"), lambda v: ~v.rlike(r"^\p{L}") | v.rlike(r"^\p{Lu}"))
     short = (F.length(x) <= F.col("short_limit")) & F.col("after_blank") & titled
-    tag = F.when(x == "", "blank")
-    for name, pattern in RAW_RULES:
-        tag = tag.when(x.rlike(pattern), name)
     caps = (letters != "") & (letters == F.upper(letters)) & (F.length(x) <= 60) & (n <= 8)
-    tag = tag.when(caps & (n <= 3), "h1").when(caps, "h2")
-    tag = tag.when(labelled & (label.rlike(HEADING_WORDS) | ((word_count(label) <= 4) & (rest == ""))), "h2")
-    tag = tag.when(labelled & (word_count(label) <= 3) & (F.length(rest) > 15), "definition")
-    tag = tag.when(labelled & (word_count(label) <= 5) & (rest == ""), "h3")
-    tag = tag.when(short & (n <= 3), "h3_entity").when(short & (n <= 5), "h2")
-    tag = tag.when(x.rlike(HEADING_WORDS) & (n <= 4), "h2")
-    tag = tag.when(x.rlike(r"\t") | (x.rlike(r" {4,}") & (n >= 3)), "table_row")
-    tag = tag.when(x.rlike(RAW_DEFINITION) & (word_count(F.regexp_extract(x, RAW_DEFINITION, 1)) <= 3), "definition")
-    return own.withColumn("tag", tag.otherwise("para")).drop("after_blank")
+    alone = labelled & (rest == "")
+    rules = [(x == "", "blank", x)]
+    rules += [(x.rlike(pattern), name, strip(F.regexp_extract(x, pattern, RAW_ITEMS[name])) if name in RAW_ITEMS else x) for name, pattern in RAW_RULES]
+    rules += [
+        (caps & (n <= 3), "h1", title_case(x)),
+        (caps, "h2", title_case(x)),
+        ((labelled & label.rlike(HEADING_WORDS)) | (alone & (word_count(label) <= 4)), "h2", label),
+        (labelled & (word_count(label) <= 3) & (F.length(rest) > 15), "definition", x),
+        (alone & (word_count(label) <= 5), "h3", label),
+        (short & (n <= 3), "h3_entity", x),
+        (short & (n <= 5), "h2", x),
+        (x.rlike(HEADING_WORDS) & (n <= 4), "h2", x),
+        (x.rlike(r"\t") | (x.rlike(r" {4,}") & (n >= 3)), "table_row", x),
+        (x.rlike(RAW_DEFINITION) & (word_count(F.regexp_extract(x, RAW_DEFINITION, 1)) <= 3), "definition", x),
+    ]
+    found = F.coalesce(*[F.when(rule, F.struct(F.lit(tag).alias("tag"), content.alias("content"))) for rule, tag, content in rules], F.struct(F.lit("para").alias("tag"), x.alias("content")))
+    return own.withColumn("_found", found).select("*", "_found.tag", "_found.content").drop("after_blank", "_found")
 
 
 def plain_headings(lines: DataFrame) -> DataFrame:

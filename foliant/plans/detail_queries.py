@@ -41,10 +41,6 @@ def css_rules(spark, sf_dir):
     return D.css_rules(table(spark, sf_dir, "pages"))
 
 
-def raw_markdown(spark, sf_dir):
-    return D.raw_markdown(L.classify_raw(Q.lines(spark, sf_dir)))
-
-
 def blocks_by_type(spark, sf_dir):
     """Blocks of one type in document order."""
     return Q.typed(spark, sf_dir).where("type = 'callout'").select("doc_id", "seq", "content")
@@ -56,7 +52,7 @@ def field_labels(spark, sf_dir):
     return T.field_labels(own)
 
 
-QUERIES = {f.__name__: f for f in (timeline_parts, definition_parts, quote_parts, entity_icons, chart_specs, visual_choices, css_rules, raw_markdown, blocks_by_type, field_labels)}
+QUERIES = {f.__name__: f for f in (timeline_parts, definition_parts, quote_parts, entity_icons, chart_specs, visual_choices, css_rules, blocks_by_type, field_labels)}
 
 _ICON = "CASE " + " ".join(f"WHEN regexp_matches(lower(content), '{p}') THEN '{n}'" for n, p in D.ENTITY_ICONS) + " ELSE 'dot' END"
 

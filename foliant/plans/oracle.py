@@ -72,7 +72,7 @@ runs AS (SELECT *, sum((kind <> 'list')::INT) OVER w AS l_isl, sum((kind <> 'tab
   FROM o WINDOW w AS (PARTITION BY doc_id ORDER BY line_no), f AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
 list_items AS (SELECT doc_id, l_isl AS island, line_no, regexp_replace(line, '^[-*0-9.]+\\s+', '') AS item, l_end AS flush FROM runs WHERE kind = 'list'),
 table_rows AS (SELECT doc_id, t_isl AS island, line_no, line AS row, t_end AS flush FROM runs WHERE kind = 'table' AND NOT {rx('line', L.SEPARATOR)}),
-task0 AS (SELECT doc_id, k_isl, line_no, least(length(replace(regexp_extract(raw, {q(L.TASK)}, 1), chr(9), '    ')) // 2, 15) AS depth, lower(regexp_extract(raw, {q(L.TASK)}, 2)) = 'x' AS checked,
+task0 AS (SELECT doc_id, k_isl, line_no, length(replace(regexp_extract(raw, {q(L.TASK)}, 1), chr(9), '    ')) // 2 AS depth, lower(regexp_extract(raw, {q(L.TASK)}, 2)) = 'x' AS checked,
   trim(regexp_extract(raw, {q(L.TASK)}, 3), {WS}) AS text, k_end AS flush FROM runs WHERE kind = 'task'),
 task1 AS (SELECT *, (SELECT max(p.line_no) FROM task0 p WHERE p.doc_id = c.doc_id AND p.k_isl = c.k_isl AND p.line_no < c.line_no AND p.depth < c.depth) AS parent FROM task0 c),
 tasks AS (SELECT doc_id, line_no, depth, checked, text, parent, max(CASE WHEN parent IS NULL THEN line_no END) OVER (PARTITION BY doc_id, k_isl ORDER BY line_no) AS root, flush FROM task1),

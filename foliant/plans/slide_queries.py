@@ -98,11 +98,6 @@ def inline_signals(spark, sf_dir):
     return D.inline_signals(p.select(k.alias("doc_id"), text.alias("text")))
 
 
-def drop_caps(spark, sf_dir):
-    own = Y.visual_lines(G._words(spark, sf_dir)).withColumn("text", F.when(F.col("line") % 4 == 0, F.lit("T")).otherwise(F.col("text")))
-    return D.drop_caps(own).select("doc_id", "page", "line", "merged")
-
-
 def page_folios(spark, sf_dir):
     """Pages whose last line is a number, near or far from the line above."""
     own = Y.visual_lines(G._words(spark, sf_dir))
@@ -141,7 +136,7 @@ def html_fragments(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        title_tagline, agenda, key_points, evidence_slides, brief_cards, topic_icons, list_series, labelled_stats, aligned_tables, inline_signals, drop_caps, page_folios, column_margins, block_html, document_titles, html_fragments,
+        title_tagline, agenda, key_points, evidence_slides, brief_cards, topic_icons, list_series, labelled_stats, aligned_tables, inline_signals, page_folios, column_margins, block_html, document_titles, html_fragments,
     )
 }
 
@@ -189,9 +184,6 @@ SQL = {
     "inline_signals": """WITH p AS (SELECT p_partkey AS k, p_name AS a, p_type AS d, (['Warning', 'note', 'KEY RULE', 'Hint', 'Danger'])[p_partkey % 5 + 1] || CASE WHEN p_partkey % 3 = 0 THEN ' - ' ELSE ': ' END AS w FROM part)
     SELECT k AS doc_id, 0 AS part, CASE WHEN k % 2 = 0 AND k % 5 <> 3 THEN a || '.' ELSE a || CASE WHEN k % 2 = 0 THEN '.  ' ELSE ' ' END || w || d || '.' END AS text FROM p
     UNION ALL SELECT k, 1, w || d || '.' FROM p WHERE k % 2 = 0 AND k % 5 <> 3 UNION ALL SELECT k, CASE WHEN k % 2 = 0 AND k % 5 <> 3 THEN 2 ELSE 1 END, 'Important: keep dry. End' FROM p""",
-    "drop_caps": f"""WITH {_LINES}, c AS (SELECT doc_id, page, line, CASE WHEN line % 4 = 0 THEN 'T' ELSE text END AS text FROM pl),
-    w AS (SELECT *, lag(text) OVER x AS b, lead(text) OVER x AS n FROM c WINDOW x AS (PARTITION BY doc_id, page ORDER BY line))
-    SELECT doc_id, page, line, CASE WHEN regexp_full_match(b, '[A-Z]') THEN b || text ELSE text END AS merged FROM w WHERE NOT (regexp_full_match(text, '[A-Z]') AND n IS NOT NULL)""",
     "page_folios": f"""WITH {_LINES}, m AS (SELECT *, max(line) OVER (PARTITION BY doc_id, page) AS last FROM pl), n AS (SELECT doc_id, page, line, last, CASE WHEN line = last THEN page::VARCHAR ELSE text END AS text, top + CASE WHEN line = last AND page % 2 = 0 THEN 30 ELSE 0 END AS top FROM m),
     a AS (SELECT *, top - lag(top) OVER (PARTITION BY doc_id, page ORDER BY line) AS gap FROM n), s AS (SELECT doc_id, page, list_sort(list(gap) FILTER (gap > 0)) AS gaps FROM a GROUP BY doc_id, page)
     SELECT a.doc_id, a.page, count(*) AS lines, max(line) AS last FROM a JOIN s ON s.doc_id = a.doc_id AND s.page = a.page

@@ -45,6 +45,35 @@ def test_task_tree(spark):
     assert [(r["text"], r["depth"], r["checked"], r["parent"], r["root"]) for r in got] == [("a", 0, False, None, 0), ("b", 1, True, 0, 0), ("c", 3, False, 1, 0), ("d", 1, False, 0, 0), ("e", 0, True, None, 4)]
 
 
+def test_task_tree_of_any_depth(spark):
+    """Against a stack, on depths up to 60 and with tabs, in two runs."""
+    r = random.Random(8)
+    docs, want = [], {}
+    for doc in range(4):
+        depths = list(range(61)) if doc == 0 else [r.choice([0, 1, 2, 3, 20, 41]) for _ in range(50)]
+        lines, stack = [], []
+        for k, d in enumerate(depths):
+            if k == 30 and doc:
+                lines.append("Text between")
+                stack = []
+            stack = [x for x in stack if x[0] < d]
+            want[doc, len(lines)] = (d, stack[-1][1] if stack else None, stack[0][1] if stack else len(lines))
+            stack.append((d, len(lines)))
+            indent = "\t" * (d // 2) + "  " * (d % 2) if doc == 2 else " \t" * (d // 2) + "  " * (d % 2) if doc == 3 else "  " * d
+            lines.append(f"{indent}- [ ] t{k}")
+        docs.append((doc, "x\n" + "\n".join(lines)))
+    got = B.tasks(L.classify(L.split_lines(spark.createDataFrame(docs, "doc_id long, text string")))).collect()
+    assert {(x["doc_id"], x["line_no"] - 1): (x["depth"], None if x["parent"] is None else x["parent"] - 1, x["root"] - 1) for x in got} == want
+
+
+def test_very_long_lines_stay_whole(spark):
+    n = 2_000_000
+    got = parse(spark, "# " + "a" * n + "\n\n> " + "b" * n).collect()
+    assert sorted((r["type"], len(r["content"])) for r in got) == [("heading", n), ("quote", n)]
+    docs = spark.createDataFrame([(1, "# " + "a" * n)], "doc_id long, text string")
+    assert len(L.titles(L.split_lines(docs)).first()["title"]) == n
+
+
 def fold(classes):
     """Starts of paragraphs by reading class by class: A starts, B breaks."""
     out, open_ = [], False
