@@ -100,11 +100,12 @@ def _indent(x: Column) -> Column:
 
 
 def tasks(lines: DataFrame) -> DataFrame:
-    """(doc_id, line_no, depth, checked, text, parent, root, flush): the task tree as rows.
+    """(doc_id, line_no, depth, checked, text, parent, tier, root, flush): the task tree as rows; tier is the number of tasks above.
 
     The parent is the nearest line before, in the same run, with a smaller depth. A task of
     depth d asks for the last line of each smaller depth: d rows, fewer than the characters
-    of its indent, however deep. A chain of nearest smaller depths ends at the run's last
+    of its indent, however deep. Of these last lines those are above the task that stand behind
+    the ones of all smaller depths. A chain of nearest smaller depths ends at the run's last
     line without a parent, so the root is found by their running maximum.
     """
     own = _runs(lines, "task")
@@ -112,11 +113,14 @@ def tasks(lines: DataFrame) -> DataFrame:
     asked = own.select("doc_id", "island", "line_no", F.explode(F.sequence(F.lit(0), F.col("depth"))).alias("level"), "depth")
     before = Window.partitionBy("doc_id", "island", "level").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     at_level = asked.withColumn("last", F.max(F.when(F.col("level") == F.col("depth"), F.col("line_no"))).over(before))
-    parents = at_level.where("level < depth").groupBy("doc_id", "line_no").agg(F.max("last").alias("parent"))
+    above = F.transform(F.array_sort(F.collect_list(F.struct("level", "last"))), lambda x: x["last"])
+    higher = lambda acc, x: F.when(x > acc["at"], F.struct(x.alias("at"), (acc["n"] + 1).alias("n"))).otherwise(acc)
+    tier = F.aggregate(above, F.struct(F.lit(-1).alias("at"), F.lit(0).alias("n")), higher, lambda acc: acc["n"])
+    parents = at_level.where("level < depth").groupBy("doc_id", "line_no").agg(F.max("last").alias("parent"), tier.alias("tier"))
     own = own.join(parents, ["doc_id", "line_no"], "left")
     w = Window.partitionBy("doc_id", "island").orderBy("line_no")
     root = F.max(F.when(F.col("parent").isNull(), F.col("line_no"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return own.select("doc_id", "line_no", "depth", "checked", "text", "parent", root.alias("root"), "flush")
+    return own.select("doc_id", "line_no", "depth", "checked", "text", "parent", F.coalesce("tier", F.lit(0)).alias("tier"), root.alias("root"), "flush")
 
 
 def _single(lines: DataFrame) -> DataFrame:

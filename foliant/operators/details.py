@@ -35,15 +35,25 @@ def quote_parts(blocks: DataFrame) -> DataFrame:
     return blocks.where("type = 'quote'").select("doc_id", "seq", quote.alias("quote"), author.alias("author"))
 
 
-#: Words within names and the icons that they stand for, first match first; our own.
-ENTITY_ICONS = (("crown", "king|queen|prince|crown"), ("castle", "harbor|keep|tower|castle"), ("sword", "knight|guard|captain"), ("map", "reach|vale|land|isle"))
+# fixed values: parts of names and the icons that they stand for, first match first
+ENTITY_ICONS = (
+    ("♔", ("king", "queen", "prince", "princess", "lord", "duke", "earl")),
+    ("🏰", ("city", "town", "village", "kingdom", "empire", "palace", "castle")),
+    ("🗺", ("mountain", "river", "forest", "sea", "ocean", "plain")),
+    ("⚔", ("guild", "order", "faction", "clan", "tribe", "house")),
+)
+OTHER_ICON = "◆"
+
+
+def entity_icon(name: Column) -> Column:
+    icon: Column = F.lit(OTHER_ICON)
+    for mark, parts in reversed(ENTITY_ICONS):
+        icon = F.when(F.lower(name).rlike("|".join(parts)), mark).otherwise(icon)
+    return icon
 
 
 def entity_icons(blocks: DataFrame) -> DataFrame:
-    icon: Column = F.lit("dot")
-    for name, pattern in reversed(ENTITY_ICONS):
-        icon = F.when(F.lower("content").rlike(pattern), name).otherwise(icon)
-    return blocks.where("type = 'entity'").select("doc_id", "seq", icon.alias("icon"))
+    return blocks.where("type = 'entity'").select("doc_id", "seq", entity_icon(F.col("content")).alias("icon"))
 
 
 def chart_specs(series: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.text import html_escaped, inline_html, strip, title_case
 from foliant.operators import images
+from foliant.operators.details import entity_icon
 
 # fixed values: the round of slide layouts
 LAYOUTS = ("split_right", "full_header", "two_column", "card_grid", "split_left", "stat_spotlight", "timeline_flow", "quote_full")
@@ -101,20 +102,6 @@ def field_labels(blocks: DataFrame) -> DataFrame:
     return own.groupBy("doc_id", "label").agg(F.count("*").alias("n")).where("n >= 2")
 
 
-def html(blocks: DataFrame) -> DataFrame:
-    """(doc_id, html): each block by its type's template, in order; important ones are marked."""
-    c = inline_html(F.col("content"))
-    mark = F.when(F.col("importance") >= 70, ' class="high"').when(F.col("importance") >= 40, ' class="med"').otherwise("")
-    items = F.concat(F.lit("<li>"), F.replace(c, F.lit("\n"), F.lit("</li><li>")), F.lit("</li>"))
-    tag = F.when(F.col("type") == "heading", F.concat(F.lit("h"), F.col("level").cast("string"))).when(F.col("type") == "entity", "h3").when(F.col("type") == "quote", "blockquote").otherwise("p")
-    body = (
-        F.when(F.col("type") == "divider", "<hr>").when(F.col("type") == "list", F.concat(F.lit("<ul"), mark, F.lit(">"), items, F.lit("</ul>"))).when(F.col("type") == "code", F.concat(F.lit("<pre><code>"), html_escaped(F.col("content")), F.lit("</code></pre>")))
-        .otherwise(F.concat(F.lit("<"), tag, mark, F.lit(">"), c, F.lit("</"), tag, F.lit(">")))
-    )
-    rows = blocks.select("doc_id", "seq", body.alias("x"))
-    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "x"))), lambda y: y["x"]), "\n").alias("html"))
-
-
 def _wrapped(open_tag: str | Column, x: Column, close_tag: str) -> Column:
     return F.concat(F.lit(open_tag) if isinstance(open_tag, str) else open_tag, x, F.lit(close_tag))
 
@@ -135,29 +122,39 @@ def table_html(raw: Column) -> Column:
     return F.when(F.size(rows) > 0, F.concat(F.lit("<table>\n"), F.array_join(F.transform(rows, row), "\n"), F.lit("\n</tbody></table>"))).otherwise("")
 
 
+def task_row(text: Column, done: Column) -> Column:
+    """A task's box and text."""
+    box = F.concat(F.lit('<label class="task-row '), F.when(done, "checked").otherwise(""), F.lit('"><input type="checkbox" disabled'), F.when(done, " checked").otherwise(""), F.lit("><span>"))
+    return F.concat(box, inline_html(text), F.lit("</span></label>"))
+
+
 def block_html(blocks: DataFrame) -> DataFrame:
     """blocks (type, level, content, importance, src, caption) with ``html``, each by the template of its type.
 
-    An image's content is its alternative text. A task is open unless a column ``checked`` says
-    otherwise; its sub-tasks are blocks of their own. Unknown types become paragraphs.
+    An image's content is its alternative text. A task shows the tree of a column ``task_html``;
+    without one it is a box of its own, open unless a column ``checked`` says otherwise. Code names the
+    language of a column ``language``. Unknown types become paragraphs.
     """
     c = inline_html(F.col("content"))
     strong = F.when(F.col("importance") >= 70, "importance-high").when(F.col("importance") >= 40, "importance-med").otherwise("")
     level = F.least(F.greatest(F.col("level"), F.lit(1)), F.lit(6)).cast("string")
     items = F.transform(F.filter(F.split("content", "\n"), lambda i: strip(i) != ""), lambda i: _wrapped("<li>", inline_html(strip(i)), "</li>"))
     done = F.coalesce(F.col("checked"), F.lit(False)) if "checked" in blocks.columns else F.lit(False)
-    box = F.concat(F.lit('"><label class="task-row'), F.when(done, " checked").otherwise(""), F.lit('"><input type="checkbox" disabled'), F.when(done, " checked").otherwise(""), F.lit("><span>"))
+    task = task_row(F.col("content"), done)
+    if "task_html" in blocks.columns:
+        task = F.coalesce("task_html", task)
+    language = F.coalesce("language", F.lit("")) if "language" in blocks.columns else F.lit("")
     templates = {
         "heading": F.concat(F.lit("<h"), level, F.lit(">"), c, F.lit("</h"), level, F.lit(">")),
-        "entity": _wrapped(_classed('<div class="entity-card entity ', strong, '"><div class="entity-name">'), c, "</div></div>"),
+        "entity": _wrapped(_classed('<div class="entity-card entity ', strong, '"><div class="entity-name">'), F.concat(entity_icon(F.col("content")), F.lit(" "), c), "</div></div>"),
         "callout": _wrapped(_classed('<div class="callout ', strong, '">'), c, "</div>"),
         "warning": _wrapped(_classed('<div class="warning ', strong, '">'), c, "</div>"),
         "timeline_event": _wrapped('<div class="timeline-event timeline">', c, "</div>"),
-        "task": _wrapped(F.concat(F.lit('<div class="task-item '), strong, box), c, "</span></label></div>"),
+        "task": _wrapped(_classed('<div class="task-item ', strong, '">'), task, "</div>"),
         "relationship": _wrapped('<p class="relationship">', c, "</p>"),
         "definition": _wrapped('<div class="definition">', c, "</div>"),
         "quote": _wrapped("<blockquote>", c, "</blockquote>"),
-        "code": _wrapped("<pre><code>", html_escaped(F.col("content")), "</code></pre>"),
+        "code": _wrapped(_classed('<pre><code class="language-', language, '">'), html_escaped(F.col("content")), "</code></pre>"),
         "list": _wrapped("<ul>", F.array_join(items, ""), "</ul>"),
         "table": table_html(F.col("content")),
         "reference": _wrapped('<p class="reference">↗ ', c, "</p>"),

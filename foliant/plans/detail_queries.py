@@ -54,7 +54,8 @@ def field_labels(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (timeline_parts, definition_parts, quote_parts, entity_icons, chart_specs, visual_choices, css_rules, blocks_by_type, field_labels)}
 
-_ICON = "CASE " + " ".join(f"WHEN regexp_matches(lower(content), '{p}') THEN '{n}'" for n, p in D.ENTITY_ICONS) + " ELSE 'dot' END"
+_ICON = """CASE WHEN regexp_matches(lower(content), 'king|queen|prince|lord|duke|earl') THEN '♔' WHEN regexp_matches(lower(content), 'city|town|village|empire|palace|castle') THEN '🏰'
+ WHEN regexp_matches(lower(content), 'mountain|river|forest|sea|ocean|plain') THEN '🗺' WHEN regexp_matches(lower(content), 'guild|order|faction|clan|tribe|house') THEN '⚔' ELSE '◆' END"""
 
 
 def _parts(kind: str, a: str, b: str) -> str:

@@ -109,10 +109,6 @@ def bullets(spark, sf_dir):
     return T.bullets(scored_sections(spark, sf_dir))
 
 
-def html_document(spark, sf_dir):
-    return T.html(scored(spark, sf_dir))
-
-
 def result_record(spark, sf_dir):
     own = scored(spark, sf_dir)
     counts = own.groupBy("doc_id").agg(F.count("*").alias("block_count"), F.count_if(F.col("type") == "entity").alias("entities"), F.max("importance").alias("top_importance"))
@@ -123,7 +119,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         term_frequency, top_terms, stopword_share, block_terms, keyword_flags, importance_scores, critical_blocks, top_entities, best_paragraph, lead_text, project_scores, project_types, theme_suggestions, manuscript_flag,
-        entity_descriptions, topic_rollup, slide_plan, table_cells, numeric_series, stat_extraction, bullets, html_document, result_record,
+        entity_descriptions, topic_rollup, slide_plan, table_cells, numeric_series, stat_extraction, bullets, result_record,
     )
 }
 
@@ -184,9 +180,6 @@ _DOC_TOKENS = f"(SELECT doc_id, unnest({_tokens('text', 3)}) AS word FROM docume
 _DOC_FREQ = f"SELECT doc_id, word, count(*) AS n FROM {_DOC_TOKENS} WHERE NOT list_contains({_list(S.STOP_WORDS)}, word) GROUP BY doc_id, word"
 _THEMES = "CASE project " + " ".join(f"WHEN '{p}' THEN {_list(t)}" for p, t in S.SUGGESTIONS.items()) + " END"
 _ESC = "replace(replace(replace(replace(replace(content, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
-_INLINE = rf"regexp_replace(regexp_replace(regexp_replace({_ESC}, '\*\*(.+?)\*\*', '<strong>\1</strong>', 'gs'), '\*(.+?)\*', '<em>\1</em>', 'gs'), '`(.+?)`', '<code>\1</code>', 'gs')"
-_MARK = "CASE WHEN importance >= 70 THEN ' class=\"high\"' WHEN importance >= 40 THEN ' class=\"med\"' ELSE '' END"
-_TAG = "CASE type WHEN 'heading' THEN 'h' || level WHEN 'entity' THEN 'h3' WHEN 'quote' THEN 'blockquote' ELSE 'p' END"
 
 SQL = {
     "term_frequency": _DOC_FREQ,
@@ -231,10 +224,6 @@ SQL = {
         u AS (SELECT *, unnest(xs) AS bullet, generate_subscripts(xs, 1) AS pos FROM i), oo AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sec, prio ORDER BY seq, pos) AS own FROM u),
         z AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sec ORDER BY prio, seq, pos) AS place FROM oo WHERE own <= most) SELECT doc_id, sec, place, substr(bullet, 1, 130) AS bullet FROM z WHERE place <= 5"""
     ),
-    "html_document": scored_sql(
-        f""" SELECT doc_id, string_agg(CASE type WHEN 'divider' THEN '<hr>' WHEN 'list' THEN '<ul' || {_MARK} || '><li>' || replace({_INLINE}, chr(10), '</li><li>') || '</li></ul>' WHEN 'code' THEN '<pre><code>' || {_ESC} || '</code></pre>'
-        ELSE '<' || {_TAG} || {_MARK} || '>' || {_INLINE} || '</' || {_TAG} || '>' END, chr(10) ORDER BY seq) AS html FROM scored GROUP BY doc_id"""
-    ),
     "result_record": scored_sql(
         """ SELECT s.doc_id, count(*) AS block_count, count(*) FILTER (type = 'entity') AS entities, max(importance) AS top_importance, any_value(p.project) AS project, any_value(p.confidence) AS confidence, arg_min(content, seq) AS title
         FROM scored s JOIN ptype p ON p.doc_id = s.doc_id GROUP BY s.doc_id"""

@@ -13,6 +13,7 @@ from foliant.operators import topics as T
 from foliant.plans import design_queries as G
 from foliant.plans import score_queries as S
 from foliant.plans import structure_queries as Q
+from foliant.plans.detail_queries import _ICON
 from foliant.plans.score_queries import scored_sql
 from foliant.session import table
 
@@ -155,6 +156,17 @@ _LINES = """l AS (SELECT doc_id, word_seq // 8 AS ln, word_seq % 8 AS col, text
   (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS ws FROM documents))),
 pl AS (SELECT doc_id, ln // 20 AS page, ln % 20 AS line, string_agg(text, ' ' ORDER BY col) AS text, (ln % 20) * 12.0 AS top FROM l GROUP BY doc_id, ln)"""
 
+BLOCK_HTML = rf"""CASE type WHEN 'heading' THEN '<h' || least(greatest(level, 1), 6) || '>' || {_md('content')} || '</h' || least(greatest(level, 1), 6) || '>'
+    WHEN 'entity' THEN '<div class="entity-card entity ' || {_IMP} || '"><div class="entity-name">' || {_ICON} || ' ' || {_md('content')} || '</div></div>' WHEN 'callout' THEN '<div class="callout ' || {_IMP} || '">' || {_md('content')} || '</div>'
+    WHEN 'warning' THEN '<div class="warning ' || {_IMP} || '">' || {_md('content')} || '</div>' WHEN 'timeline_event' THEN '<div class="timeline-event timeline">' || {_md('content')} || '</div>' WHEN 'relationship' THEN '<p class="relationship">' || {_md('content')} || '</p>'
+    WHEN 'definition' THEN '<div class="definition">' || {_md('content')} || '</div>' WHEN 'quote' THEN '<blockquote>' || {_md('content')} || '</blockquote>' WHEN 'code' THEN '<pre><code class="language-">' || {_E.format(x='content')} || '</code></pre>' WHEN 'divider' THEN '<hr>'
+    WHEN 'reference' THEN '<p class="reference">↗ ' || {_md('content')} || '</p>'
+    WHEN 'image' THEN '<figure class="figure figure-wide"><img src="' || src || '" alt="' || {_E.format(x='content')} || '" loading="lazy"><figcaption>' || {_E.format(x='caption')} || '</figcaption></figure>'
+    WHEN 'list' THEN '<ul>' || array_to_string(list_transform(list_filter(string_split(content, chr(10)), lambda i: trim(i) <> ''), lambda i: '<li>' || {_md('trim(i)')} || '</li>'), '') || '</ul>'
+    WHEN 'table' THEN '<table>' || chr(10) || array_to_string(list_transform(string_split(content, chr(10)), lambda r, n: CASE WHEN n = 1 THEN '<thead><tr><th>' || array_to_string(list_transform({_CELLS}, lambda c: {_E.format(x='c')}), '</th><th>') || '</th></tr></thead><tbody>'
+      ELSE '<tr><td>' || array_to_string(list_transform({_CELLS}, lambda c: {_E.format(x='c')}), '</td><td>') || '</td></tr>' END), chr(10)) || chr(10) || '</tbody></table>'
+    ELSE '<p class="' || {_IMP} || '">' || {_md('content')} || '</p>' END"""
+
 SQL = {
     "title_tagline": scored_sql(" , r AS (SELECT doc_id, content, row_number() OVER (PARTITION BY doc_id ORDER BY importance DESC, seq) AS k FROM scored WHERE type IN ('paragraph', 'callout')) SELECT doc_id, substr(content, 1, 160) AS tagline FROM r WHERE k = 1"),
     "agenda": scored_sql(_TOPICS + " SELECT doc_id, place, title AS bullet FROM tp WHERE topics >= 2 AND place <= 10"),
@@ -191,16 +203,7 @@ SQL = {
     "column_margins": f"""WITH {_LINES}, x AS (SELECT doc_id, ln, CASE WHEN col >= 4 THEN 1 ELSE 0 END AS col, min(50.0 + col * 60 + CASE WHEN col >= 4 THEN 40 ELSE 0 END + CASE WHEN ln % 5 = 0 THEN 12 ELSE 0 END) AS x0 FROM l GROUP BY doc_id, ln, CASE WHEN col >= 4 THEN 1 ELSE 0 END),
     c AS (SELECT doc_id, col, x0, count(*) AS n FROM x GROUP BY doc_id, col, x0) SELECT doc_id, col, min(x0)::DOUBLE AS margin FROM (SELECT *, max(n) OVER (PARTITION BY doc_id, col) AS most FROM c) WHERE n >= most * 0.2 GROUP BY doc_id, col""",
     "block_html": scored_sql(
-        rf""" SELECT doc_id, seq, CASE type WHEN 'heading' THEN '<h' || least(greatest(level, 1), 6) || '>' || {_md('content')} || '</h' || least(greatest(level, 1), 6) || '>'
-    WHEN 'entity' THEN '<div class="entity-card entity ' || {_IMP} || '"><div class="entity-name">' || {_md('content')} || '</div></div>' WHEN 'callout' THEN '<div class="callout ' || {_IMP} || '">' || {_md('content')} || '</div>'
-    WHEN 'warning' THEN '<div class="warning ' || {_IMP} || '">' || {_md('content')} || '</div>' WHEN 'timeline_event' THEN '<div class="timeline-event timeline">' || {_md('content')} || '</div>' WHEN 'relationship' THEN '<p class="relationship">' || {_md('content')} || '</p>'
-    WHEN 'definition' THEN '<div class="definition">' || {_md('content')} || '</div>' WHEN 'quote' THEN '<blockquote>' || {_md('content')} || '</blockquote>' WHEN 'code' THEN '<pre><code>' || {_E.format(x='content')} || '</code></pre>' WHEN 'divider' THEN '<hr>'
-    WHEN 'reference' THEN '<p class="reference">↗ ' || {_md('content')} || '</p>'
-    WHEN 'image' THEN '<figure class="figure figure-wide"><img src="' || src || '" alt="' || {_E.format(x='content')} || '" loading="lazy"><figcaption>' || {_E.format(x='caption')} || '</figcaption></figure>'
-    WHEN 'list' THEN '<ul>' || array_to_string(list_transform(list_filter(string_split(content, chr(10)), lambda i: trim(i) <> ''), lambda i: '<li>' || {_md('trim(i)')} || '</li>'), '') || '</ul>'
-    WHEN 'table' THEN '<table>' || chr(10) || array_to_string(list_transform(string_split(content, chr(10)), lambda r, n: CASE WHEN n = 1 THEN '<thead><tr><th>' || array_to_string(list_transform({_CELLS}, lambda c: {_E.format(x='c')}), '</th><th>') || '</th></tr></thead><tbody>'
-      ELSE '<tr><td>' || array_to_string(list_transform({_CELLS}, lambda c: {_E.format(x='c')}), '</td><td>') || '</td></tr>' END), chr(10)) || chr(10) || '</tbody></table>'
-    ELSE '<p class="' || {_IMP} || '">' || {_md('content')} || '</p>' END AS html FROM scored WHERE type <> 'task'"""
+        f" SELECT doc_id, seq, {BLOCK_HTML} AS html FROM scored WHERE type <> 'task'"
     ),
     "document_titles": scored_sql(
         """ , h AS (SELECT doc_id, arg_min(content, seq) AS title FROM typed WHERE doc_id % 2 = 1 AND type IN ('heading', 'entity') AND level = 1 GROUP BY doc_id)

