@@ -9,9 +9,9 @@ from foliant.operators import decoration as K
 from foliant.plans import score_queries as S
 from foliant.plans import structure_queries as Q
 from foliant.plans.score_queries import _ESC, scored_sql
-from foliant.session import table
+from foliant.session import shared_path, table
 from foliant.sinks import writers
-from foliant.sources import files
+from foliant.sources import files, themes
 
 
 def html_markdown(spark, sf_dir):
@@ -54,7 +54,19 @@ def conversation_lines(spark, sf_dir):
     return own.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), F.when(F.col("role") == "user", "quote").otherwise("paragraph").alias("type"), F.concat_ws(": ", "role", "text").alias("content"))
 
 
-QUERIES = {f.__name__: f for f in (html_markdown, format_dispatch, docx_roundtrip, json_records, inline_html_blocks, decoration_mood, decoration_fallback, doodle_placement, conversation_lines)}
+def theme_versions(spark, sf_dir):
+    """Themes of all nations, saved again for region 1 under another name, deleted for region 2, and what each version shows."""
+    nation = table(spark, sf_dir, "nation")
+    theme = lambda name: nation.select("n_regionkey", F.lower("n_name").alias("id"), name.alias("name"), F.lit("").alias("description"), F.lit("").alias("icon"), F.create_map(F.lit("--accent"), name).alias("properties"), F.create_map(F.lit("h1"), F.struct(name.alias("fg"), F.lit(None).cast("string").alias("bg"))).alias("elements"))
+    own = themes.store(spark, shared_path(spark, "themes"))
+    themes.save(own, theme(F.col("n_name")).drop("n_regionkey"))
+    themes.save(own, theme(F.concat(F.lit("New "), F.col("n_name"))).where("n_regionkey = 1").drop("n_regionkey"))
+    own.delete(nation.where("n_regionkey = 2").select(F.lower("n_name").alias("id")))
+    shown = lambda v: own.load(v).select(F.lit(v).alias("version"), "id", "name", F.element_at("properties", "--accent").alias("accent"))
+    return shown(1).unionByName(shown(2)).unionByName(shown(3))
+
+
+QUERIES = {f.__name__: f for f in (html_markdown, format_dispatch, docx_roundtrip, json_records, inline_html_blocks, decoration_mood, decoration_fallback, doodle_placement, conversation_lines, theme_versions)}
 
 _MOOD = "CASE " + " ".join(f"WHEN w IN ({','.join(repr(w) for w in ws.split())}) THEN {k}" for k, (_, ws) in enumerate(K.MOODS)) + " END"
 SQL = {
@@ -64,5 +76,7 @@ SQL = {
         f""" , ww AS (SELECT doc_id, unnest(regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{N}}_]+')) AS w FROM typed WHERE seq < 40), mm AS (SELECT doc_id, {_MOOD} AS k FROM ww), cc AS (SELECT doc_id, k, count(*) AS n FROM mm WHERE k IS NOT NULL GROUP BY doc_id, k),
         rr AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, k) AS p FROM cc) SELECT doc_id, ([{','.join(repr(n) for n, _ in K.MOODS)}])[(k + 1)::INT] AS mood FROM rr WHERE p = 1"""
     ),
+    "theme_versions": """WITH v AS (SELECT unnest([1, 2, 3]) AS version), n AS (SELECT version, n_regionkey, lower(n_name) AS id, CASE WHEN version >= 2 AND n_regionkey = 1 THEN 'New ' ELSE '' END || n_name AS name FROM nation, v)
+    SELECT version, id, name, name AS accent FROM n WHERE version < 3 OR n_regionkey <> 2""",
     "conversation_lines": "SELECT conv_id AS doc_id, turn AS seq, CASE WHEN role = 'user' THEN 'quote' ELSE 'paragraph' END AS type, concat_ws(': ', role, text) AS content FROM conversations",
 }

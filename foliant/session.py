@@ -44,18 +44,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written to the store that driver and executors share and read back, so that they are made once.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the store that driver and executors share.
 
     ``spark.checkpoint.dir`` names the store; only a local master may do without, and takes a folder of this machine.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a store that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='foliant-')}"
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/foliant/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/foliant/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """The rows of df, written to the shared store and read back, so that they are made once."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

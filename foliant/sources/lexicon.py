@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliant.sources.store import read_json
+
 SCHEMA = "ord int, parent string, key string, signals array<string>, hue double, sat double, energy double, heading_font string, body_font string, decor string"
 
 SEED = (
@@ -31,7 +33,5 @@ def seed_lexicon(spark: SparkSession) -> DataFrame:
 
 
 def read_lexicon(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """A lexicon table; unreadable JSON rows are dropped."""
-    if fmt == "json":
-        return spark.read.schema(SCHEMA).option("mode", "DROPMALFORMED").option("multiLine", "true").option("recursiveFileLookup", "true").json(path)
-    return spark.read.schema(SCHEMA).format(fmt).load(path)
+    """A lexicon table; of JSON files also ``path`` and ``unreadable``, the text of a file that is no entry."""
+    return read_json(spark, path, SCHEMA) if fmt == "json" else spark.read.schema(SCHEMA).format(fmt).load(path)

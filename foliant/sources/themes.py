@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions.text import safe_name
+from foliant.sources.store import Store, read_json
 
 # fixed values: ids and names of the built-in themes
 BUILTIN = (
@@ -25,11 +26,15 @@ def with_custom(builtins: DataFrame, custom: DataFrame) -> DataFrame:
 
 
 def load(spark: SparkSession, folder: str) -> DataFrame:
-    """Custom themes of a folder, one JSON file each; unreadable files are skipped."""
-    return spark.read.schema(SCHEMA).option("multiLine", "true").option("mode", "DROPMALFORMED").option("recursiveFileLookup", "true").json(folder)
+    """Custom themes of a folder, one JSON file each, with ``path`` and ``unreadable``: the text of a file that is no theme, all else null."""
+    return read_json(spark, folder, SCHEMA)
 
 
-def save(themes: DataFrame, folder: str) -> None:
-    """Write themes by their sanitised ids; a theme that is saved again replaces its older version."""
-    named = themes.withColumn("file", safe_name(F.col("id")))
-    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").json(folder)
+def store(spark: SparkSession, root: str) -> Store:
+    """Custom themes as a versioned table; an id is kept as a file's name would be."""
+    return Store(spark, root, SCHEMA)
+
+
+def save(themes: Store, rows: DataFrame) -> int:
+    """Set themes; a theme that is saved again replaces its older version."""
+    return themes.save(rows.withColumn("id", safe_name(F.col("id"))))

@@ -1,10 +1,12 @@
 import time
 
+import pytest
+
 from foliant.operators import lexicon as X
 from foliant.operators import signals as S
 from foliant.plans.structure_queries import typed
 from foliant.sinks import writers
-from foliant.sources import files, themes
+from foliant.sources import files, lexicon, store, themes
 from foliant.sources.lexicon import seed_lexicon
 from foliant.streaming.folder import parse_stream
 
@@ -28,10 +30,37 @@ def test_files(spark, tmp_path):
     assert got["e.docx"][1:] == (None, False)
 
 
-def test_themes(spark, tmp_path):
-    own = spark.createDataFrame([("a b", "A", "", "", {"p": "1"}, {"h": ("x", None)})], themes.SCHEMA)
-    themes.save(own, str(tmp_path / "t"))
-    assert themes.load(spark, str(tmp_path / "t")).select("id", "name").collect()[0]["name"] == "A"
+def theme(i, name):
+    return (i, name, "", "", {"p": name}, {"h": (name, None)})
+
+
+def names(df):
+    return sorted((r["id"], r["name"], r["properties"]["p"]) for r in df.collect())
+
+
+def test_theme_store(spark, tmp_path):
+    own = themes.store(spark, str(tmp_path / "t"))
+    make = lambda *rows: spark.createDataFrame([theme(*r) for r in rows], themes.SCHEMA)
+    assert own.load().collect() == [] and own.versions() == []
+    assert themes.save(own, make(("a b", "A"), ("c", "C"), ("c", "D"))) == 1
+    assert names(own.load()) == [("a_b", "A", "A"), ("c", "D", "D")]
+    assert themes.save(own, make(("c", "B"), ("e", "E"))) == 2
+    assert own.delete(spark.createDataFrame([("a_b",), ("none",)], "id string")) == 3
+    assert names(own.load()) == [("c", "B", "B"), ("e", "E", "E")]
+    assert names(own.load(1)) == [("a_b", "A", "A"), ("c", "D", "D")] and own.versions() == [1, 2, 3]
+    with pytest.raises(store.Conflict):
+        own.save(make(("x", "X")), after=2)
+    assert names(own.load()) == [("c", "B", "B"), ("e", "E", "E")]
+    assert themes.save(own, make(("a_b", "Z"))) == 4 and ("a_b", "Z", "Z") in names(own.load())
+
+
+def test_unreadable_files_are_told(spark, tmp_path):
+    (tmp_path / "good.json").write_text('{"id": "a", "name": "A", "properties": {"p": "1"}}')
+    (tmp_path / "bad.json").write_text('{"id": "b", ')
+    rows = {r["path"].rsplit("/", 1)[-1]: r for r in themes.load(spark, str(tmp_path)).collect()}
+    assert rows["good.json"]["id"] == "a" and rows["good.json"]["unreadable"] is None
+    assert rows["bad.json"]["id"] is None and rows["bad.json"]["unreadable"] == '{"id": "b", '
+    assert {r["unreadable"] is None for r in lexicon.read_lexicon(spark, str(tmp_path)).collect()} == {True, False}
 
 
 def test_lexicon_ways_agree(spark):
