@@ -1,16 +1,12 @@
-"""Decoration: moods of a document's opening blocks and the placement of doodles."""
+"""Decoration: moods of a document's opening blocks, ornaments and their glyphs."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Moods and their words, our own; the first mood wins among equals.
 MOODS = (("royal", "crown king queen iron keep"), ("nature", "north garden leaf sea"), ("study", "analysis results research evidence data"), ("magic", "magic quest world mira"))
-ICONS = (("crown", "crown keep"), ("compass", "north south map"), ("book", "research records notes"), ("star", "magic quest"))
 FALLBACKS = ("dots", "lines", "waves")
 
 
@@ -49,30 +45,3 @@ def mood(blocks: DataFrame, opening: int = 40) -> DataFrame:
 def fallback(docs: DataFrame) -> DataFrame:
     """(doc_id, style): a style from the checksum of a document's name."""
     return docs.select("doc_id", F.element_at(F.array(*map(F.lit, FALLBACKS)), (F.crc32(F.col("name").cast("binary")) % len(FALLBACKS)).cast("int") + 1).alias("style"))
-
-
-def doodles(blocks: DataFrame, cap: int = 12, gap: int = 2) -> DataFrame:
-    """(doc_id, seq, icon, side): icons beside blocks that name them.
-
-    Placement is a fold over a document's blocks (a least gap, no icon twice in a row, sides
-    in turn, a cap that is the feature), so each document's blocks meet in one row.
-    """
-    own = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.lower("content").alias("x")))).alias("b"))
-    words = [(icon, set(ws.split())) for icon, ws in ICONS]
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                last, before, n = -gap - 1, None, 0
-                for b in parts:
-                    found = set(b["x"].replace(".", " ").split()) if b["x"] else set()
-                    icon = next((i for i, ws in words if ws & found and i != before), None)
-                    if icon and b["seq"] - last > gap and n < cap:
-                        rows.append((doc, b["seq"], icon, "left" if n % 2 == 0 else "right"))
-                        last, before, n = b["seq"], icon, n + 1
-            if rows:
-                c = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(c[0], pa.int64()), "seq": pa.array(c[1], pa.int32()), "icon": pa.array(c[2], pa.string()), "side": pa.array(c[3], pa.string())})
-
-    return own.mapInArrow(run, "doc_id long, seq int, icon string, side string")

@@ -42,7 +42,7 @@ def _wordlike(c: str) -> bool:
     return c.isalnum() or c == "_"
 
 
-def _is_border(text: str, at: int) -> bool:
+def is_border(text: str, at: int) -> bool:
     """Whether a word starts or ends before this place."""
     return (at > 0 and _wordlike(text[at - 1])) != (at < len(text) and _wordlike(text[at]))
 
@@ -54,7 +54,7 @@ def _counts(machine, text: str) -> Counter:
     for end, (signal, kinds) in machine.iter(text):
         start = end + 1 - len(signal)
         for whole in kinds:
-            if start >= ends.get((signal, whole), 0) and (not whole or (_is_border(text, start) and _is_border(text, end + 1))):
+            if start >= ends.get((signal, whole), 0) and (not whole or (is_border(text, start) and is_border(text, end + 1))):
                 ends[signal, whole] = end + 1
                 found[signal, whole] += 1
     return found
@@ -66,7 +66,9 @@ def _shards(signals: DataFrame, shard_bytes: int) -> Iterator[list[tuple]]:
     n = -(-size // shard_bytes)
     for k in range(n):
         part = signals.where(F.pmod(F.xxhash64("signal"), F.lit(n)) == k)
-        yield [tuple(r) for r in part.select("ord", "key", "signal", "whole", "weight").collect()]
+        shard = [tuple(r) for r in part.select("ord", "key", "signal", "whole", "weight").collect()]
+        if shard:
+            yield shard
 
 
 def _scan(texts: DataFrame, shard: list[tuple]) -> DataFrame:

@@ -44,10 +44,6 @@ def decoration_fallback(spark, sf_dir):
     return K.fallback(Q.doc_title(spark, sf_dir).withColumnRenamed("title", "name"))
 
 
-def doodle_placement(spark, sf_dir):
-    return K.doodles(Q.typed(spark, sf_dir))
-
-
 def conversation_lines(spark, sf_dir):
     """Turns of a conversation as ordered blocks: speaker and text."""
     own = table(spark, sf_dir, "conversations")
@@ -66,7 +62,7 @@ def theme_versions(spark, sf_dir):
     return shown(1).unionByName(shown(2)).unionByName(shown(3))
 
 
-QUERIES = {f.__name__: f for f in (html_markdown, format_dispatch, docx_roundtrip, json_records, inline_html_blocks, decoration_mood, decoration_fallback, doodle_placement, conversation_lines, theme_versions)}
+QUERIES = {f.__name__: f for f in (html_markdown, format_dispatch, docx_roundtrip, json_records, inline_html_blocks, decoration_mood, decoration_fallback, conversation_lines, theme_versions)}
 
 _MOOD = "CASE " + " ".join(f"WHEN w IN ({','.join(repr(w) for w in ws.split())}) THEN {k}" for k, (_, ws) in enumerate(K.MOODS)) + " END"
 SQL = {
