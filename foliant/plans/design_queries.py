@@ -95,14 +95,6 @@ def page_repairs(spark, sf_dir):
     return texts(spark, sf_dir).select("doc_id", F.md5(X.plain_page_text(F.coalesce("text", F.lit("")))).alias("digest"))
 
 
-def style_votes(spark, sf_dir):
-    """The commonest tag of every page, the first by name among equals."""
-    tags = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"<([a-z][a-z0-9]*)"), F.lit(1))).alias("tag"))
-    by = tags.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
-    top = by.groupBy("page_id").agg(F.max("n").alias("n"))
-    return by.join(top, ["page_id", "n"]).groupBy("page_id", "n").agg(F.min("tag").alias("tag"))
-
-
 def theme_union(spark, sf_dir):
     """Built-in themes and one custom theme for each nation; a custom one replaces a built-in of its id."""
     custom = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("id"), F.concat(F.lit("Theme "), F.col("n_name")).alias("name"), F.lit("custom").alias("origin"))
@@ -159,7 +151,7 @@ def dehyphenated(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        input_mode, short_lines, plain_headings, lexicon_hits, genre_scores, genre_pick, genre_blend, modifier_pick, food_predicate, food_mood, seed_unit, palette, color_ops, safe_names, page_repairs, style_votes, theme_union,
+        input_mode, short_lines, plain_headings, lexicon_hits, genre_scores, genre_pick, genre_blend, modifier_pick, food_predicate, food_mood, seed_unit, palette, color_ops, safe_names, page_repairs, theme_union,
         pdf_lines, body_font, running_edges, line_gaps, gutters, margins, heading_lines, script_format, dehyphenated,
     )
 }
@@ -241,8 +233,6 @@ SQL = {
     {_mix(255, 0.25)} AS light, {_mix(0, 0.5)} AS dark, {_ch('hex', 0)} AS r, {_ch('hex', 1)} AS g, {_ch('hex', 2)} AS b FROM c""",
     "safe_names": r"""SELECT p_partkey, regexp_replace(p_type, '[^a-zA-Z0-9_\-]', '_', 'g') AS safe, replace(replace(replace(replace(replace(p_name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS html FROM part""",
     "page_repairs": r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(coalesce(text, ''), chr(9), ' '), '([0-9A-Za-z_])-\n([0-9A-Za-z_])', '\1\2', 'g'), '([a-z,;])\n([a-z])', '\1 \2', 'g'), '\n[ ]*\d+[ ]*\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS digest FROM documents""",
-    "style_votes": """WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages), b AS (SELECT page_id, tag, count(*) AS n FROM t GROUP BY page_id, tag), m AS (SELECT page_id, max(n) AS n FROM b GROUP BY page_id)
-    SELECT b.page_id, b.n, min(b.tag) AS tag FROM b JOIN m ON b.page_id = m.page_id AND b.n = m.n GROUP BY b.page_id, b.n""",
     "theme_union": "WITH c AS (SELECT lower(n_name) AS id, 'Theme ' || n_name AS name, 'custom' AS origin FROM nation), b AS (SELECT * FROM (VALUES " + ",".join(f"('{i}', '{n}', 'builtin')" for i, n in TH.BUILTIN) + ") AS v(id, name, origin)) SELECT * FROM c UNION ALL SELECT * FROM b WHERE id NOT IN (SELECT id FROM c)",
     "pdf_lines": f"WITH {_PW} SELECT doc_id, page, line, top, x0, size, text FROM vl",
     "body_font": f"WITH {_PW}, s AS (SELECT doc_id, round(size, 1) AS size, sum(length(text)) AS n FROM words GROUP BY doc_id, round(size, 1)) SELECT doc_id, arg_max(size, n * 1000 - size) AS size FROM s GROUP BY doc_id",
