@@ -76,18 +76,41 @@ def list_series(blocks: DataFrame) -> DataFrame:
     return pairs.join(enough, ["doc_id", "seq"], "left_semi").select("doc_id", "seq", "row", "label", "value")
 
 
-def labelled_stats(blocks: DataFrame) -> DataFrame:
-    """(doc_id, place, val, label): up to four distinct numbers of a document's prose with unit and label.
+def chart_series(blocks: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(by, seq, row, label, value, title): what a chart of each document or topic shows, its first table with enough numbers, else its first such list.
+
+    A table needs three rows with its header and three numbers in the second column of the eight rows after it;
+    separator and blank rows do not count as rows. Its title is the first cell of the header; lists have none.
+    """
+    keys = [*by, "seq"]
+    listed = F.filter(F.split("content", "\n"), lambda r: (strip(r) != "") & ~r.rlike(r"^\|[-:\s|]+\|?$"))
+    cells = lambda r: F.transform(F.split(F.regexp_replace(strip(r), r"^\|+|\|+$", ""), r"\|"), strip)
+    tables = blocks.where("type = 'table'").select(*keys, listed.alias("rows")).where(F.size("rows") >= 3)
+    table_rows = tables.select(*keys, cells(F.element_at("rows", 1))[0].alias("title"), F.posexplode(F.slice("rows", 2, 8)).alias("row", "r")).withColumn("c", cells(F.col("r")))
+    number = F.nullif(F.regexp_replace(F.try_element_at("c", F.lit(2)), r"[^0-9.\-]", ""), F.lit("")).try_cast("double")
+    of_tables = table_rows.select(*keys, F.lit(0).alias("kind"), "row", F.substring(F.col("c")[0], 1, 20).alias("label"), number.alias("value"), "title")
+    pattern = r"^(.+?)[\s:—\-]+(\d[\d,.]*)%?\s*$"
+    items = blocks.where("type = 'list'").select(*keys, F.posexplode(F.split("content", "\n")).alias("row", "x"))
+    item = strip(F.regexp_replace(strip(F.col("x")), r"^[-•*]+", ""))
+    value = F.when(item.rlike(pattern), F.regexp_replace(F.regexp_extract(item, pattern, 2), ",", "").try_cast("double"))
+    of_lists = items.select(*keys, F.lit(1).alias("kind"), "row", F.substring(strip(F.regexp_extract(item, pattern, 1)), 1, 20).alias("label"), value.alias("value"), F.lit("").alias("title"))
+    pairs = of_tables.unionByName(of_lists).where("value IS NOT NULL")
+    enough = pairs.groupBy(*keys, "kind").agg(F.count("*").alias("n")).where("n >= 3").groupBy(*by).agg(F.min(F.struct("kind", "seq")).alias("at"))
+    return pairs.join(enough.select(*by, "at.kind", "at.seq"), [*keys, "kind"], "left_semi").drop("kind")
+
+
+def labelled_stats(blocks: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(by, place, val, label): up to four distinct numbers of the prose of a document, or topic, with unit and label.
 
     Only the first six numbers above zero count; a number without words behind it is labelled
     by the start of its block.
     """
     pattern = r"\b(\d[\d,]*(?:\.\d+)?)\s*(%|x|X|\+)?\b\s*([A-Za-z][^.\n]{3,40})?"
     text = blocks.where(F.col("type").isin("paragraph", "list", "callout"))
-    found = text.select("doc_id", "seq", "content", F.posexplode(F.regexp_extract_all("content", F.lit(pattern), F.lit(0))).alias("pos", "hit"))
+    found = text.select(*by, "seq", "content", F.posexplode(F.regexp_extract_all("content", F.lit(pattern), F.lit(0))).alias("pos", "hit"))
     number = F.regexp_extract("hit", pattern, 1)
     label = F.substring(strip(F.regexp_extract("hit", pattern, 3)), 1, 30)
-    own = found.select("doc_id", "seq", "pos", F.concat(number, F.regexp_extract("hit", pattern, 2)).alias("val"), F.when(label != "", label).otherwise(F.substring("content", 1, 30)).alias("label"), F.regexp_replace(number, ",", "").try_cast("double").alias("x")).where("x > 0")
-    six = own.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("seq", "pos"))).where("k <= 6")
-    first = six.groupBy("doc_id", "val").agg(F.min_by("label", "k").alias("label"), F.min("k").alias("k"))
-    return first.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("k"))).where("place <= 4").select("doc_id", "place", "val", "label")
+    own = found.select(*by, "seq", "pos", F.concat(number, F.regexp_extract("hit", pattern, 2)).alias("val"), F.when(label != "", label).otherwise(F.substring("content", 1, 30)).alias("label"), F.regexp_replace(number, ",", "").try_cast("double").alias("x")).where("x > 0")
+    six = own.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("seq", "pos"))).where("k <= 6")
+    first = six.groupBy(*by, "val").agg(F.min_by("label", "k").alias("label"), F.min("k").alias("k"))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("k"))).where("place <= 4").select(*by, "place", "val", "label")

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.plans import decor_queries, design_queries, detail_queries, import_queries, lexicon_queries, page_queries, raw_queries, reading_queries, score_queries, slide_queries, source_queries, structure_queries, style_queries
+from foliant.plans import decor_queries, design_queries, detail_queries, import_queries, lexicon_queries, page_queries, raw_queries, reading_queries, score_queries, session_queries, slide_queries, source_queries, structure_queries, style_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "block_stream"
-MODULES = (structure_queries, score_queries, design_queries, source_queries, detail_queries, slide_queries, style_queries, reading_queries, lexicon_queries, raw_queries, page_queries, decor_queries, import_queries)
+MODULES = (structure_queries, score_queries, design_queries, source_queries, detail_queries, slide_queries, style_queries, reading_queries, lexicon_queries, raw_queries, page_queries, decor_queries, import_queries, session_queries)
 
 
 def queries() -> dict[str, Query]:

@@ -14,6 +14,7 @@ from foliant.plans import design_queries as G
 from foliant.plans import score_queries as S
 from foliant.plans import structure_queries as Q
 from foliant.plans.detail_queries import _ICON
+from foliant.plans.oracle import over_corpus
 from foliant.plans.score_queries import scored_sql
 from foliant.session import table
 
@@ -81,6 +82,16 @@ def labelled_stats(spark, sf_dir):
     return P.labelled_stats(o.select(k.alias("doc_id"), F.lit(0).alias("seq"), F.lit("paragraph").alias("type"), text.alias("content")))
 
 
+def topic_series(spark, sf_dir):
+    """What the chart of each topic shows; every third document has no tables, so that its lists serve."""
+    own = Q.sectioned(spark, sf_dir).where("NOT (type = 'table' AND doc_id % 3 = 1)")
+    return P.chart_series(own, ("doc_id", "sec", "sub"))
+
+
+def topic_stats(spark, sf_dir):
+    return P.labelled_stats(Q.sectioned(spark, sf_dir), ("doc_id", "sec", "sub"))
+
+
 def aligned_tables(spark, sf_dir):
     """Texts of aligned columns from parts, with tabs or runs of spaces, some rows short."""
     p = table(spark, sf_dir, "part")
@@ -137,7 +148,7 @@ def html_fragments(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        title_tagline, agenda, key_points, evidence_slides, brief_cards, topic_icons, list_series, labelled_stats, aligned_tables, inline_signals, page_folios, column_margins, block_html, document_titles, html_fragments,
+        title_tagline, agenda, key_points, evidence_slides, brief_cards, topic_icons, list_series, labelled_stats, topic_series, topic_stats, aligned_tables, inline_signals, page_folios, column_margins, block_html, document_titles, html_fragments,
     )
 }
 
@@ -191,6 +202,24 @@ SQL = {
     f AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY pos) AS n, g.num || g.unit AS val, CASE WHEN trim(g.words) <> '' THEN substr(trim(g.words), 1, 30) ELSE substr(t, 1, 30) END AS label FROM p WHERE replace(g.num, ',', '')::DOUBLE > 0),
     d AS (SELECT k, val, arg_min(label, n) AS label, min(n) AS n FROM f WHERE n <= 6 GROUP BY k, val), r AS (SELECT k, val, label, row_number() OVER (PARTITION BY k ORDER BY n) AS place FROM d)
     SELECT k AS doc_id, place, val, label FROM r WHERE place <= 4""",
+    "topic_series": over_corpus(
+        r""", sx AS (SELECT * FROM sectioned WHERE NOT (type = 'table' AND doc_id % 3 = 1)),
+    tb AS (SELECT doc_id, sec, sub, seq, list_filter(string_split(content, chr(10)), lambda r: trim(r) <> '' AND NOT regexp_matches(r, '^\|[-:\s|]+\|?$')) AS rs FROM sx WHERE type = 'table'),
+    tr AS (SELECT doc_id, sec, sub, seq, trim(string_split(trim(rs[1], '|'), '|')[1]) AS title, unnest(rs[2:9]) AS r, generate_subscripts(rs[2:9], 1) - 1 AS row FROM tb WHERE len(rs) >= 3), tc AS (SELECT *, string_split(trim(r, '|'), '|') AS c FROM tr),
+    li AS (SELECT doc_id, sec, sub, seq, unnest(string_split(content, chr(10))) AS x, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS row FROM sx WHERE type = 'list'),
+    ps AS (SELECT doc_id, sec, sub, seq, 0 AS kind, row, trim(c[1])[1:20] AS label, try_cast(nullif(regexp_replace(c[2], '[^0-9.\-]', '', 'g'), '') AS DOUBLE) AS value, title FROM tc
+      UNION ALL SELECT doc_id, sec, sub, seq, 1, row, trim(regexp_extract(x, '^(.+?)[\s:—\-]+(\d[\d,.]*)%?\s*$', 1))[1:20], try_cast(nullif(replace(regexp_extract(x, '^(.+?)[\s:—\-]+(\d[\d,.]*)%?\s*$', 2), ',', ''), '') AS DOUBLE), '' FROM li),
+    en AS (SELECT doc_id, sec, sub, seq, kind FROM ps WHERE value IS NOT NULL GROUP BY ALL HAVING count(*) >= 3), ch AS (SELECT doc_id, sec, sub, min((kind, seq)) AS p FROM en GROUP BY ALL)
+    SELECT ps.doc_id, ps.sec, ps.sub, ps.seq, row, label, value, title FROM ps JOIN ch ON ch.doc_id = ps.doc_id AND ch.sec = ps.sec AND ch.sub = ps.sub AND ch.p = (ps.kind, ps.seq) WHERE value IS NOT NULL"""
+    ),
+    "topic_stats": over_corpus(
+        r""", hx AS (SELECT doc_id, sec, sub, seq, content AS t, unnest(regexp_extract_all(content, '\b(\d[\d,]*(?:\.\d+)?)\s*(%|x|X|\+)?\b\s*([A-Za-z][^.\n]{3,40})?')) AS hit,
+      generate_subscripts(regexp_extract_all(content, '\b(\d[\d,]*(?:\.\d+)?)\s*(%|x|X|\+)?\b\s*([A-Za-z][^.\n]{3,40})?'), 1) AS at_ FROM sectioned WHERE type IN ('paragraph', 'list', 'callout')),
+    px AS (SELECT *, regexp_extract(hit, '^(\d[\d,]*(?:\.\d+)?)\s*(%|x|X|\+)?\b\s*([A-Za-z][^.\n]{3,40})?', ['num', 'unit', 'words']) AS g FROM hx),
+    fx AS (SELECT doc_id, sec, sub, row_number() OVER (PARTITION BY doc_id, sec, sub ORDER BY seq, at_) AS n, g.num || g.unit AS val, CASE WHEN trim(g.words) <> '' THEN substr(trim(g.words), 1, 30) ELSE substr(t, 1, 30) END AS label FROM px WHERE replace(g.num, ',', '')::DOUBLE > 0),
+    dx AS (SELECT doc_id, sec, sub, val, arg_min(label, n) AS label, min(n) AS n FROM fx WHERE n <= 6 GROUP BY ALL)
+    SELECT doc_id, sec, sub, val, label, row_number() OVER (PARTITION BY doc_id, sec, sub ORDER BY n) AS place FROM dx QUALIFY place <= 4"""
+    ),
     "aligned_tables": """WITH p AS (SELECT p_partkey AS k, p_name AS a, p_size AS b, p_brand AS c, p_type AS d FROM part)
     SELECT k AS doc_id, concat_ws(chr(10), '| name | size | type  x |', '| --- | --- | --- |', '| ' || a || ' | ' || b || ' |  |', '| only |  |  |', '| ' || c || ' | 7 | ' || d || ' |') AS markdown FROM p""",
     "inline_signals": """WITH p AS (SELECT p_partkey AS k, p_name AS a, p_type AS d, (['Warning', 'note', 'KEY RULE', 'Hint', 'Danger'])[p_partkey % 5 + 1] || CASE WHEN p_partkey % 3 = 0 THEN ' - ' ELSE ': ' END AS w FROM part)
