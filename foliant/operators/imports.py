@@ -184,13 +184,15 @@ def run_designs(runs: DataFrame, defaults: DataFrame | None = None) -> DataFrame
     read = all_docs.join(won, "doc_id", "left")
     read = read.join(defaults.select("doc_id", *given), "doc_id", "left") if defaults is not None else read.select("*", *[F.lit(None).cast("string").alias(c) for c in given])
     v = lambda bucket: F.element_at("v", bucket)
-    hue = lambda c: F.when(~is_gray(normal_hex(F.col(c))), normal_hex(F.col(c)))
-    low = F.when(F.coalesce(v("accent"), hue("h1_color"), F.lit(DEFAULTS["color_accent"])) == DEFAULTS["color_accent"], hue("accent1"))
-    accent = F.coalesce(low, v("accent"), hue("h1_color"))
-    text = F.coalesce(v("text"), normal_hex(F.col("text_color")))
-    text = F.coalesce(F.when(F.coalesce(text, F.lit(DEFAULTS["color_text"])) == DEFAULTS["color_text"], normal_hex(F.col("dark1"))), text)
-    paper = F.coalesce(normal_hex(F.col("page_color")), normal_hex(F.col("light1")))
-    props = {"color_accent": accent, "color_text": text, "color_bg": paper, "font_heading": F.coalesce(v("font_heading"), F.col("h1_font")), "font_body": F.coalesce(v("font_body"), F.col("text_font"))}
+    hexes = ("h1_color", "text_color", "accent1", "dark1", "light1", "page_color")
+    read = read.withColumns({c: normal_hex(F.col(c)) for c in hexes})
+    read = read.withColumns({c: F.when(~is_gray(F.col(c)), F.col(c)) for c in ("h1_color", "accent1")})
+    read = read.withColumns({"_accent": F.coalesce(v("accent"), F.col("h1_color")), "_text": F.coalesce(v("text"), F.col("text_color"))})
+    unset = lambda c, name: F.coalesce(F.col(c), F.lit(DEFAULTS[name])) == DEFAULTS[name]
+    own = {"_accent": F.when(unset("_accent", "color_accent"), F.coalesce("accent1", "_accent")).otherwise(F.col("_accent")), "_text": F.when(unset("_text", "color_text"), F.coalesce("dark1", "_text")).otherwise(F.col("_text"))}
+    read = read.withColumns(own)
+    accent = F.col("_accent")
+    props = {"color_accent": accent, "color_text": F.col("_text"), "color_bg": F.coalesce("page_color", "light1"), "font_heading": F.coalesce(v("font_heading"), F.col("h1_font")), "font_body": F.coalesce(v("font_body"), F.col("text_font"))}
     marked: Column = F.lit(None).cast("string")
     for name, color in reversed(HIGHLIGHTS):
         marked = F.when(F.contains(F.upper(v("highlight")), F.lit(name)), color).otherwise(marked)
