@@ -13,6 +13,11 @@ def seed_unit(text: Column) -> Column:
     return F.conv(F.substring(F.md5(F.substring(text, 1, 2000)), 1, 8), 16, 10).cast("double") / F.lit(4294967295.0)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x to so many digits by its binary value: 0.25125, which is stored as a little less, gives 0.2512 (Spark's round goes by the digits shown)."""
+    return F.round(x * float(10**digits)) / float(10**digits)
+
+
 def seed_int(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
@@ -79,7 +84,7 @@ COLORS = tuple(DARK)
 def with_palette(rows: DataFrame) -> DataFrame:
     """rows of hue, sat, energy, seed and second_hue (or null) with dark_bg and color_<name> for each of COLORS."""
     own = rows.withColumns({
-        "_h": F.pmod(F.col("hue") + (F.col("seed") - 0.5) * 30, F.lit(360.0)),
+        "_h": F.pmod(F.col("hue") + (F.col("seed") - 0.5) * 30 + 360, F.lit(360.0)),
         "_s": F.greatest(F.lit(0.15), F.least(F.lit(0.8), F.col("sat") * (0.82 + F.col("seed") * 0.4))),
         "dark_bg": is_dark(F.col("energy"), F.col("seed")),
     })

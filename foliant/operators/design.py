@@ -40,7 +40,7 @@ def modified(styles: DataFrame) -> DataFrame:
     applies = F.col("modifier").isNotNull() & (F.col("genre") != "neutral") & ~F.contains(leaf, F.col("modifier"))
     clamp = lambda x, low: F.greatest(F.lit(low), F.least(F.lit(0.85), x))
     return styles.withColumn("_on", F.coalesce(applies, F.lit(False))).withColumns({
-        "hue": F.when(F.col("_on"), F.pmod(F.col("hue") + F.coalesce("hue_shift", F.lit(0.0)), F.lit(360.0))).otherwise(F.col("hue")),
+        "hue": F.when(F.col("_on"), F.pmod(F.col("hue") + F.coalesce("hue_shift", F.lit(0.0)) + 360, F.lit(360.0))).otherwise(F.col("hue")),
         "sat": F.when(F.col("_on"), clamp(F.col("sat") * F.coalesce("sat_mult", F.lit(1.0)), 0.12)).otherwise(F.col("sat")),
         "energy": F.when(F.col("_on"), clamp(F.col("energy") * F.coalesce("energy_mult", F.lit(1.0)), 0.05)).otherwise(F.col("energy")),
         "modifier": F.when(F.col("_on"), F.col("modifier")),

@@ -36,6 +36,11 @@ def test_column(spark, fn, values, want):
     assert column(spark, values, fn) == want
 
 
+def test_rounded_by_binary_value(spark):
+    own = spark.createDataFrame([(0.25125,), (0.25126,), (-0.25125,), (0.5,), (None,)], "x double").select(C.rounded(F.col("x"), 4).alias("y")).collect()
+    assert [r["y"] for r in own] == [0.2512, 0.2513, -0.2512, 0.5, None]
+
+
 def test_data_uri_round_trip(spark):
     row = spark.createDataFrame([(bytearray(range(256)), ".JPG")], "b binary, e string")
     data, ending = I.from_data_uri(F.col("uri"))
