@@ -24,37 +24,57 @@ def _starts(values: Column, tolerance: float) -> Column:
     return F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.slice(values, 1, 1), step)
 
 
+#: The fields of a word; a page's words are an array of these.
+WORD = ("top", "x0", "word_seq", "x1", "size", "text")
+
+
+def pages_of(words: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, page, words): the words of each page as one array; pages stay as they are.
+
+    A source that has a page's words at once hands pages over, and no row per word is shuffled.
+    """
+    if "words" in words.columns:
+        return words
+    return words.groupBy("doc_id", "page").agg(F.collect_list(F.struct(*WORD, *more)).alias("words"))
+
+
+def row_starts(tops: Column, tolerance: float) -> Column:
+    """The heights, of sorted ones, at which rows start: the first one, then each that lies more than the tolerance below the start before."""
+    return F.aggregate(tops, F.slice(tops, 1, 1), lambda acc, t: F.when(t - F.element_at(acc, -1) > tolerance, F.array_append(acc, t)).otherwise(acc))
+
+
+def by_rows(pages: DataFrame, tolerance: float) -> DataFrame:
+    """pages with ``rows``: the words parted by height, top to bottom. Words are sorted by height, so that a row is a slice."""
+    own = pages.withColumn("words", F.array_sort("words")).withColumn("tops", F.col("words.top"))
+    own = own.withColumn("starts", row_starts(F.array_distinct("tops"), tolerance)).withColumn("at", F.transform("starts", lambda t: F.array_position("tops", t).cast("int")))
+    row = lambda k, i: F.slice("words", k, F.coalesce(F.get("at", i + 1), F.size("words") + 1) - k)
+    return own.withColumn("rows", F.transform("at", row)).drop("words", "tops", "starts", "at")
+
+
 def visual_lines(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
     """(doc_id, page, line, top, x0, x1, size, text): words of about one height, left to right.
 
     A line starts where a word lies more than the tolerance below the first word of the line
-    before, so words that drift down do not chain. Lines are numbered over the distinct
-    heights of a page; a page's words, which its size bounds, are gathered once.
+    before, so words that drift down do not chain. Words are rows or pages; a page's words,
+    which its size bounds, are parted inside of its row.
     """
-    pages = words.groupBy("doc_id", "page").agg(F.collect_list(F.struct("top", "x0", "word_seq", "x1", "size", "text")).alias("words"))
-    tops = pages.withColumn("tops", F.array_sort(F.array_distinct("words.top")))
+    rows = by_rows(pages_of(words), tolerance)
 
-    def step(acc: Column, top: Column) -> Column:
-        below = top - acc["anchor"] > tolerance
-        return F.struct(F.when(below, top).otherwise(acc["anchor"]).alias("anchor"), F.concat(acc["lines"], F.array(F.element_at(acc["lines"], -1) + below.cast("int"))).alias("lines"))
+    def line(r: Column, i: Column) -> Column:
+        text = F.array_join(F.transform(F.array_sort(F.transform(r, lambda w: F.struct(w["x0"], w["word_seq"], w["text"]))), lambda w: w["text"]), " ")
+        return F.struct(i.alias("line"), F.array_min(r["top"]).alias("top"), F.array_min(r["x0"]).alias("x0"), F.array_max(r["x1"]).alias("x1"), F.array_max(r["size"]).alias("size"), text.alias("text"))
 
-    start = F.struct(F.element_at("tops", 1).alias("anchor"), F.array(F.lit(0)).alias("lines"))
-    number = F.aggregate(F.slice("tops", F.lit(2), F.size("tops")), start, step, lambda acc: acc["lines"])
-    numbered = tops.withColumn("line_of", F.map_from_arrays("tops", number))
-    each = F.explode(F.transform("words", lambda w: F.struct(F.element_at("line_of", w["top"]).alias("line"), w.alias("w"))))
-    own = numbered.select("doc_id", "page", each.alias("e")).select("doc_id", "page", "e.line", "e.w.*")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "word_seq", "text"))), lambda y: y["text"]), " ")
-    return own.groupBy("doc_id", "page", "line").agg(F.min("top").alias("top"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.max("size").alias("size"), text.alias("text"))
+    return rows.select("doc_id", "page", F.inline(F.transform("rows", line)))
 
 
 def running_edges(lines: DataFrame, least_pages: int = 4) -> DataFrame:
     """(doc_id, edge, text): first or last lines that repeat on 3 pages and 40 % of them at least."""
     ends = lines.groupBy("doc_id", "page").agg(F.min_by("text", "line").alias("first"), F.max_by("text", "line").alias("last"))
-    pages = ends.groupBy("doc_id").agg(F.count("*").alias("pages"))
     both = ends.select("doc_id", F.explode(F.array(*[F.struct(F.lit(e).alias("edge"), F.col(e).alias("text")) for e in ("first", "last")])).alias("e")).select("doc_id", "e.*")
     counts = both.groupBy("doc_id", "edge", "text").agg(F.count("*").alias("n"))
-    best = counts.groupBy("doc_id", "edge").agg(F.max_by(F.struct("text", "n"), F.struct("n", "text")).alias("b"))
-    return best.join(pages, "doc_id").where((F.col("pages") >= least_pages) & (F.col("b.n") >= F.greatest(F.lit(3.0), F.col("pages") * 0.4))).select("doc_id", "edge", "b.text")
+    # each page has one text for each edge, so the counts of an edge are its pages
+    best = counts.groupBy("doc_id", "edge").agg(F.sum("n").alias("pages"), F.max_by(F.struct("text", "n"), F.struct("n", "text")).alias("b"))
+    return best.where((F.col("pages") >= least_pages) & (F.col("b.n") >= F.greatest(F.lit(3.0), F.col("pages") * 0.4))).select("doc_id", "edge", "b.text")
 
 
 def median_gap(lines: DataFrame) -> DataFrame:
@@ -97,9 +117,9 @@ def left_margin(lines: DataFrame, tolerance: float = 3.0) -> DataFrame:
     by that first one; of equally common edges the smaller comes first.
     """
     by = lines.groupBy("doc_id", F.bround("x0").alias("x0")).agg(F.count("*").alias("n"))
-    edges = by.groupBy("doc_id").agg(F.array_sort(F.collect_list("x0")).alias("edges"))
-    names = edges.select("doc_id", F.explode(F.arrays_zip("edges", _starts(F.col("edges"), tolerance).alias("margin"))).alias("e")).select("doc_id", F.col("e.edges").alias("x0"), F.col("e.margin").alias("margin"))
-    own = by.join(names, ["doc_id", "x0"]).groupBy("doc_id", "margin").agg(F.sum("n").alias("n"))
+    edges = by.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("x0", "n"))).alias("edges"))
+    named = F.arrays_zip(F.col("edges.n").alias("n"), _starts(F.col("edges.x0"), tolerance).alias("margin"))
+    own = edges.select("doc_id", F.inline(named)).groupBy("doc_id", "margin").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("doc_id").orderBy(F.desc("n"), "margin")
     own = own.withColumns({"k": F.row_number().over(w), "most": F.max("n").over(Window.partitionBy("doc_id"))})
     return own.where((F.col("k") <= 3) & (F.col("n") >= F.col("most") * 0.2)).groupBy("doc_id").agg(F.min("margin").alias("margin"))
@@ -119,9 +139,8 @@ def without_folios(lines: DataFrame, factor: float = 1.6) -> DataFrame:
     page = Window.partitionBy("doc_id", "page")
     w = page.orderBy("line")
     own = lines.withColumns({"_gap": F.col("top") - F.lag("top").over(w), "_last": F.max("line").over(page), "_n": F.count("*").over(page)})
-    gaps = own.where("_gap > 0").groupBy("doc_id", "page").agg(F.array_sort(F.collect_list("_gap")).alias("_g"))
-    usual = gaps.select("doc_id", "page", F.element_at("_g", F.floor(F.size("_g") / 2).cast("int") + 1).alias("_usual"))
-    own = own.join(usual, ["doc_id", "page"], "left")
+    gaps = F.array_sort(F.collect_list(F.when(F.col("_gap") > 0, F.col("_gap"))).over(page))
+    own = own.withColumn("_g", gaps).withColumn("_usual", F.get("_g", F.floor(F.size("_g") / 2).cast("int"))).drop("_g")
     folio = (F.col("line") == F.col("_last")) & strip(F.col("text")).rlike(r"^\d+$") & ((F.col("_n") == 1) | F.col("_usual").isNull() | (F.col("_gap") > F.col("_usual") * factor))
     return own.where(~folio).drop("_gap", "_last", "_n", "_usual")
 

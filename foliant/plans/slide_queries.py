@@ -112,7 +112,7 @@ def inline_signals(spark, sf_dir):
 
 def page_folios(spark, sf_dir):
     """Pages whose last line is a number, near or far from the line above."""
-    own = Y.visual_lines(G._words(spark, sf_dir))
+    own = Y.visual_lines(G._pages(spark, sf_dir))
     last = F.col("line") == F.max("line").over(Window.partitionBy("doc_id", "page"))
     far = F.when(F.col("page") % 2 == 0, 30.0).otherwise(0.0)
     own = own.withColumns({"text": F.when(last, F.col("page").cast("string")).otherwise(F.col("text")), "top": F.when(last, F.col("top") + far).otherwise(F.col("top"))})
@@ -121,8 +121,11 @@ def page_folios(spark, sf_dir):
 
 def column_margins(spark, sf_dir):
     """The margin of the left and of the right half of each document's pages."""
-    own = G._words(spark, sf_dir)
-    lines = own.groupBy("doc_id", "page", F.floor(F.col("word_seq") / G.WORDS_PER_LINE).alias("line"), (F.col("x0") >= 320).cast("int").alias("col")).agg(F.min("x0").alias("x0"))
+    size = G.WORDS_PER_LINE
+    half = lambda i, col, at: F.struct(i.alias("line"), F.lit(col).alias("col"), F.array_min(F.transform(F.filter(F.slice("words", i * size + 1, size), lambda w: at(w["x0"])), lambda w: w["x0"])).alias("x0"))
+    each = lambda i: F.array(half(i, 0, lambda x: x < 320), half(i, 1, lambda x: x >= 320))
+    rows = F.sequence(F.lit(0), F.ceil(F.size("words") / size).cast("int") - 1)
+    lines = G._pages(spark, sf_dir).select("doc_id", "page", F.inline(F.flatten(F.transform(rows, each)))).where("x0 IS NOT NULL")
     return Y.column_margins(lines)
 
 
