@@ -28,84 +28,126 @@ BINS = 200
 PAGE = ("doc_id", "page")
 
 
-def rows_of(words: DataFrame, tolerance: float = ROW_TOLERANCE) -> DataFrame:
-    """words with ``row``: the number of the visual row on its page, from 0.
+def paged(words: DataFrame, tolerance: float = ROW_TOLERANCE) -> DataFrame:
+    """(doc_id, page, page_width, rows): each page with its visual rows, top to bottom, words by x0, top and word_seq.
 
     A row starts at a word that lies more than the tolerance below the first word of the row
-    before. Only the heights at which rows start are carried through a page.
+    before. Words are rows or pages; paged frames stay as they are.
     """
-    pages = words.groupBy(*PAGE).agg(F.collect_list(F.struct("page_width", "top", "x0", "word_seq", "x1", "size", "text")).alias("words"))
-    tops = F.array_sort(F.array_distinct(F.col("words.top")))
-    starts = F.aggregate(tops, F.slice(tops, 1, 1), lambda acc, t: F.when(t - F.element_at(acc, -1) > tolerance, F.array_append(acc, t)).otherwise(acc))
-    own = pages.withColumn("starts", starts).select(*PAGE, "starts", F.explode("words").alias("w"))
-    return own.select(*PAGE, "w.*", (F.size(F.filter("starts", lambda s: s <= F.col("w.top"))) - 1).alias("row"))
+    if "rows" in words.columns:
+        return words
+    own = Y.by_rows(Y.pages_of(words, "page_width").select(*PAGE, F.array_max("words.page_width").alias("page_width"), "words"), tolerance)
+    ordered = lambda r: F.array_sort(F.arrays_zip(*[r[c].alias(c) for c in ("x0", "top", "word_seq", "text", "size", "x1")]))
+    return own.select(*PAGE, "page_width", F.transform("rows", ordered).alias("rows"))
+
+
+def rows_of(words: DataFrame, tolerance: float = ROW_TOLERANCE) -> DataFrame:
+    """words with ``row``: the number of the visual row on its page, from 0."""
+    rows = paged(words, tolerance).select(*PAGE, "page_width", F.posexplode("rows").alias("row", "r"))
+    return rows.select(*PAGE, "page_width", F.inline("r"), "row")
 
 
-def _center(left: str = "x0", right: str = "x1") -> Column:
-    return (F.col(left) + F.col(right)) / 2
+def body_size(pages: DataFrame) -> DataFrame:
+    """The commonest size of each document's words, for paged frames."""
+    return Y.body_size(pages.select("doc_id", F.inline(F.flatten("rows"))))
 
 
-def gutters(rows: DataFrame) -> DataFrame:
-    """(doc_id, page, left, right): the widest band of the page's middle half that hardly a row touches.
+def _center(word: Column) -> Column:
+    return (word["x0"] + word["x1"]) / 2
+
+
+def with_gutters(pages: DataFrame) -> DataFrame:
+    """pages with left and right: the widest band of the page's middle half that hardly a row touches; else null.
 
     A page needs GUTTER_ROWS rows, the band GUTTER_LEAST points, and either side GUTTER_SIDE of the words. Of equally
     wide bands the first counts. A row's words are one bit set of the bins that they touch.
     """
+    words_of_bits = range(-(-BINS // 64))
     step = F.col("page_width") / BINS
-    bin_of = lambda x: F.least(F.greatest((F.col(x) / step).cast("int"), F.lit(0)), F.lit(BINS - 1))
-    own = rows.where("page_width > 0").select(*PAGE, "row", "page_width", bin_of("x0").alias("a"), bin_of("x1").alias("b"), _center().alias("center"))
     ones = F.lit(-1).cast("long")
 
-    def mask(k: int) -> Column:
-        low, high = F.greatest(F.col("a") - 64 * k, F.lit(0)), F.least(F.col("b") - 64 * k, F.lit(63))
-        bits = F.call_function("shiftleft", ones, low).bitwiseAND(F.call_function("shiftrightunsigned", ones, 63 - high))
-        return F.when((low <= 63) & (high >= 0) & (low <= high), bits).otherwise(F.lit(0).cast("long"))
-
-    by_row = own.groupBy(*PAGE, "row").agg(F.max("page_width").alias("page_width"), F.array(*[F.bit_or(mask(k)) for k in range(-(-BINS // 64))]).alias("touched"), F.collect_list("center").alias("centers"))
-    pages = by_row.groupBy(*PAGE).agg(F.max("page_width").alias("page_width"), F.collect_list("touched").alias("rows"), F.flatten(F.collect_list("centers")).alias("centers")).where(F.size("rows") >= GUTTER_ROWS)
-    touching = lambda b: F.size(F.filter("rows", lambda r: F.call_function("bit_get", F.element_at(r, (b / 64).cast("int") + 1), (b % 64).cast("int")) == 1))
-    free = F.filter(F.sequence(F.lit(int(BINS * GUTTER_FROM)), F.lit(int(BINS * GUTTER_TO) - 1)), lambda b: touching(b) / F.size("rows") <= GUTTER_COVER)
-    found = pages.select(*PAGE, "page_width", "centers", F.posexplode(free).alias("k", "bin"))
-    bands = found.groupBy(*PAGE, (F.col("bin") - F.col("k")).alias("band")).agg(F.min("bin").alias("low"), (F.max("bin") + 1).alias("high"), F.first("page_width").alias("page_width"), F.first("centers").alias("centers"))
-    bands = bands.where((F.col("high") - F.col("low")) * step >= GUTTER_LEAST)
-    best = bands.groupBy(*PAGE).agg(F.max_by(F.struct((F.col("low") * step).alias("left"), (F.col("high") * step).alias("right"), "centers"), F.struct(F.col("high") - F.col("low"), -F.col("low"))).alias("b")).select(*PAGE, "b.*")
-    share = F.size(F.filter("centers", lambda c: c < _center("left", "right"))) / F.size("centers")
-    return best.where((share >= GUTTER_SIDE) & (1 - share >= GUTTER_SIDE)).select(*PAGE, "left", "right")
-
-
-def assembled(rows: DataFrame, bands: DataFrame) -> DataFrame:
-    """(doc_id, page, line, col, x0, top, words): the lines of each page in reading order.
+    def bits(word: Column, step: Column) -> Column:
+        ends = [F.least(F.greatest((word[c] / step).cast("int"), F.lit(0)), F.lit(BINS - 1)) for c in ("x0", "x1")]
+        return F.struct(*[x.alias(n) for x, n in zip(ends, "ab", strict=True)])
+
+    def mask(x: Column, k: int) -> Column:
+        low, high = F.greatest(x["a"] - 64 * k, F.lit(0)), F.least(x["b"] - 64 * k, F.lit(63))
+        own = F.call_function("shiftleft", ones, low).bitwiseAND(F.call_function("shiftrightunsigned", ones, 63 - high))
+        return F.when((low <= 63) & (high >= 0) & (low <= high), own).otherwise(F.lit(0).cast("long"))
+
+    none = F.array(*[F.lit(0).cast("long") for _ in words_of_bits])
+    touched = F.transform("rows", lambda r: F.aggregate(F.transform(r, lambda w: bits(w, F.col("_step"))), none, lambda acc, x: F.array(*[F.get(acc, F.lit(k)).bitwiseOR(mask(x, k)) for k in words_of_bits])))
+    enough = (F.col("page_width") > 0) & (F.size("rows") >= GUTTER_ROWS)
+    own = pages.withColumn("_step", F.when(enough, step)).withColumn("_touched", F.when(F.col("_step").isNotNull(), touched))
+    touching = lambda b: F.size(F.filter("_touched", lambda r: F.call_function("bit_get", F.get(r, F.floor(b / 64).cast("int")), b % 64) == 1))
+    bins = F.sequence(F.lit(int(BINS * GUTTER_FROM)), F.lit(int(BINS * GUTTER_TO) - 1))
+    free = F.filter(bins, lambda b: touching(b) / F.size("_touched") <= GUTTER_COVER)
+    own = own.withColumn("_free", F.when(F.col("_touched").isNotNull(), free))
+
+    def widest(acc: Column, b: Column) -> Column:
+        low = F.when(b == acc["last"] + 1, acc["low"]).otherwise(b)
+        more = b - low > acc["to"] - acc["from"]
+        return F.struct(low.alias("low"), b.alias("last"), F.when(more, low).otherwise(acc["from"]).alias("from"), F.when(more, b).otherwise(acc["to"]).alias("to"))
+
+    start = F.struct(F.lit(-9).alias("low"), F.lit(-9).alias("last"), F.lit(0).alias("from"), F.lit(-1).alias("to"))
+    own = own.withColumn("_band", F.aggregate("_free", start, widest, lambda acc: F.struct(acc["from"].alias("low"), (acc["to"] + 1).alias("high"))))
+    wide = (F.col("_band.high") - F.col("_band.low")) * F.col("_step") >= GUTTER_LEAST
+    own = own.withColumns({"_left": F.when(wide, F.col("_band.low") * F.col("_step")), "_right": F.when(wide, F.col("_band.high") * F.col("_step"))})
+    centers = F.transform(F.flatten("rows"), _center)
+    own = own.withColumns({"_middle": (F.col("_left") + F.col("_right")) / 2, "_centers": F.when(F.col("_left").isNotNull(), centers)})
+    own = own.withColumn("_share", F.size(F.filter("_centers", lambda c: c < F.col("_middle"))) / F.size("_centers"))
+    held = (F.col("_share") >= GUTTER_SIDE) & (1 - F.col("_share") >= GUTTER_SIDE)
+    return own.select(*PAGE, "page_width", "rows", F.when(held, F.col("_left")).alias("left"), F.when(held, F.col("_right")).alias("right"))
+
+
+def gutters(words: DataFrame) -> DataFrame:
+    """(doc_id, page, left, right) of the pages that have a gutter."""
+    # no filter, which Spark would push down with every expression below it spelled out
+    found = F.when(F.col("left").isNotNull(), F.array(F.struct("left", "right")))
+    return with_gutters(paged(words)).select(*PAGE, F.inline(found))
+
+
+def assembled(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, line, col, x0, top, words): the lines of each page with its gutter in reading order.
 
     A row with a word in the gutter stands across both columns; other rows are parted at its
     middle. Between two rows across, the left column is read before the right one.
     """
-    own = rows.join(bands, list(PAGE), "left")
-    across = F.coalesce((F.col("x0") < F.col("right")) & (F.col("x1") > F.col("left")), F.lit(False))
-    own = own.withColumn("across", F.max(across).over(Window.partitionBy(*PAGE, "row")))
-    col = F.when(F.col("left").isNull() | F.col("across") | (_center() < _center("left", "right")), 0).otherwise(1)
-    word = F.struct("x0", "top", "word_seq", "text", "size")
-    lines = own.groupBy(*PAGE, "row", col.alias("col")).agg(F.max("across").alias("across"), F.array_sort(F.collect_list(word)).alias("words"))
-    before = Window.partitionBy(*PAGE).orderBy("row", "col").rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumn("part", F.coalesce(F.sum(F.col("across").cast("int")).over(before), F.lit(0)))
-    order = Window.partitionBy(*PAGE).orderBy("part", F.when(F.col("across"), 2).otherwise(F.col("col")), "row")
-    first = F.element_at("words", 1)
-    return lines.select(*PAGE, (F.row_number().over(order) - 1).alias("line"), "col", first["x0"].alias("x0"), first["top"].alias("top"), F.transform("words", lambda w: F.struct(w["text"].alias("text"), w["size"].alias("size"))).alias("words"))
+    crosses = lambda r: F.coalesce(F.exists(r, lambda w: (w["x0"] < F.col("right")) & (w["x1"] > F.col("left"))), F.lit(False))
+    own = pages.withColumn("_across", F.when(F.col("left").isNull(), F.transform("rows", lambda r: F.lit(False))).otherwise(F.transform("rows", crosses)))
+    own = own.withColumns({"_wide": F.filter(F.transform("_across", lambda a, i: F.when(a, i)), lambda i: i.isNotNull()), "_middle": (F.col("left") + F.col("right")) / 2})
+
+    def parts(r: Column, i: Column) -> Column:
+        across = F.get("_across", i)
+        whole = across | F.col("_middle").isNull()
+        side = lambda keep: F.filter(r, keep)
+        line = lambda col, order, words: F.struct(F.size(F.filter("_wide", lambda k: k < i)).alias("part"), order.alias("order"), i.alias("row"), F.lit(col).alias("col"), words.alias("words"))
+        left = side(lambda w: _center(w) < F.col("_middle"))
+        right = side(lambda w: ~F.coalesce(_center(w) < F.col("_middle"), F.lit(False)))
+        return F.when(whole, F.array(line(0, F.when(across, 2).otherwise(0), r))).otherwise(F.array(line(0, F.lit(0), left), line(1, F.lit(1), right)))
+
+    lines = F.array_sort(F.filter(F.flatten(F.transform("rows", parts)), lambda x: F.size(x["words"]) > 0))
+
+    def numbered(x: Column, n: Column) -> Column:
+        first = F.get(x["words"], F.lit(0))
+        words = F.arrays_zip(x["words"]["text"].alias("text"), x["words"]["size"].alias("size"))
+        return F.struct(n.alias("line"), x["col"].alias("col"), first["x0"].alias("x0"), first["top"].alias("top"), words.alias("words"))
+
+    return own.select(*PAGE, F.inline(F.transform(lines, numbered)))
 
 
 def line_text(words: Column) -> Column:
     return strip(F.array_join(F.transform(words, lambda w: w["text"]), " "))
 
 
-def edge_texts(rows: DataFrame) -> DataFrame:
+def edge_texts(words: DataFrame) -> DataFrame:
     """(doc_id, head, foot): the text of the first or last row that recurs on 3 pages and 40 % of them at least, of 4 or more with text.
 
     Of equally frequent texts, the one that comes first in the document.
     """
-    last = F.max("row").over(Window.partitionBy(*PAGE))
-    ends = rows.withColumn("last", last).where("row = 0 OR row = last")
-    text = F.transform(F.array_sort(F.collect_list(F.struct("x0", "top", "word_seq", "text"))), lambda w: w["text"])
-    texts = ends.groupBy(*PAGE, "row", "last").agg(strip(F.array_join(text, " ")).alias("text")).where("text <> ''")
-    edges = texts.select(*PAGE, "text", F.explode(F.filter(F.array(F.when(F.col("row") == 0, "head"), F.when(F.col("row") == F.col("last"), "foot")), lambda e: e.isNotNull())).alias("edge"))
+    text = lambda at: strip(F.array_join(F.element_at("rows", at)["text"], " "))
+    both = F.array(*[F.struct(F.lit(e).alias("edge"), text(at).alias("text")) for e, at in (("head", 1), ("foot", -1))])
+    edges = paged(words).select(*PAGE, F.inline(both)).where("text <> ''")
     counts = edges.groupBy("doc_id", "edge", "text").agg(F.count("*").alias("n"), F.min("page").alias("since"))
     best = counts.groupBy("doc_id", "edge").agg(F.sum("n").alias("pages"), F.max_by(F.struct("text", "n"), F.struct("n", -F.col("since"))).alias("b"))
     best = best.where((F.col("pages") >= 4) & (F.col("b.n") >= F.greatest(F.lit(3.0), F.col("pages") * 0.4)))
@@ -190,7 +232,8 @@ def rendered(lines: DataFrame, body: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("doc_id").orderBy("page", "line")
     first = F.element_at("words", 1)
-    own = lines.join(body.withColumnRenamed("size", "body"), "doc_id").join(Y.column_margins(lines.select("doc_id", "col", "x0")), ["doc_id", "col"])
+    margins = Y.column_margins(lines.select("doc_id", "col", "x0")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("col", "margin"))).alias("margins"))
+    own = lines.join(body.withColumnRenamed("size", "body"), "doc_id").join(margins, "doc_id").withColumn("margin", F.element_at("margins", F.col("col"))).drop("margins")
     own = own.withColumn("text", F.array_join(F.transform("words", lambda x: x["text"]), " "))
     own = own.join(Y.looks_like_script(own.select("doc_id", "text")), "doc_id", "left")
     speaker = F.coalesce(F.col("script"), F.lit(False)) & (F.size("words") <= 4) & F.forall("words", lambda x: x["text"].rlike(r"^[A-Z][A-Z']+$"))
@@ -203,17 +246,18 @@ def rendered(lines: DataFrame, body: DataFrame) -> DataFrame:
     return parts.where("text <> ''")
 
 
-def body_lines(rows: DataFrame, body: DataFrame) -> DataFrame:
+def body_lines(pages: DataFrame, body: DataFrame) -> DataFrame:
     """The lines of the text proper: in reading order, without edges, words whole and initials joined."""
-    lines = without_edges(assembled(rows, gutters(rows)), edge_texts(rows))
+    lines = without_edges(assembled(with_gutters(pages)), edge_texts(pages))
     return with_initials(rejoined(lines), body)
 
 
 def markdown(words: DataFrame) -> DataFrame:
-    """(doc_id, markdown): each document of positioned words as Markdown. Rows and lines are read several times, so they are written once."""
-    rows = settled(rows_of(words), "rows")
-    body = Y.body_size(rows)
-    parts = rendered(settled(body_lines(rows, body), "lines"), body)
+    """(doc_id, markdown): each document of positioned words as Markdown. Lines are read several times, so they are written once."""
+    pages = paged(words)
+    body = body_size(pages)
+    lines = settled(body_lines(pages, body), "lines")
+    parts = rendered(lines, body)
     line = F.when(F.col("kind") == "heading", F.concat(F.lit("# "), F.col("text"))).otherwise(F.col("text"))
     own = parts.select("doc_id", "part", line.alias("x"))
     return own.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "x"))), lambda y: y["x"]), "\n\n").alias("markdown"))

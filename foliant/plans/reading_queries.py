@@ -9,53 +9,71 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliant.functions.text import words
 from foliant.operators import layout as Y
 from foliant.operators import reading as R
-from foliant.session import settled, table
+from foliant.plans.design_queries import numbers, page_texts
 
 PER_ROW, PER_PAGE = 8, 208
+FIELDS = (*Y.WORD, "page_width")
+
+
+def _places(single: bool, odd: bool) -> list[tuple]:
+    """Top, x0, width and size of every word of a full page; only these depend on the columns and on the page's number."""
+    out = []
+    for k in range(PER_PAGE):
+        r, c = divmod(k, PER_ROW)
+        title = odd and r == 5
+        x = 50 + c * 62 if single else 50 + c * 65 if title else 50 + c % 4 * 60 + (290 if c >= 4 else 0)
+        out.append((60.0 + r * 14 + c % 2, float(x + (12 if r % 6 == 0 and not title else 0)), 60.0 if title else 50.0, 14.0 if title else 10.0))
+    return out
 
 
 def page_words(spark, sf_dir):
-    """Positioned words of every document; every third document has one column."""
-    own = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(words(F.coalesce("text", F.lit("")))).alias("i", "w"))
-    own = own.withColumns({"page": F.floor(F.col("i") / PER_PAGE).cast("int"), "r": F.floor(F.col("i") % PER_PAGE / PER_ROW), "c": F.col("i") % PER_ROW, "single": F.col("doc_id") % 3 == 0})
-    title = (F.col("page") % 2 == 1) & (F.col("r") == 5)
-    across = F.when(F.col("single"), 50 + F.col("c") * 62).when(title, 50 + F.col("c") * 65).otherwise(50 + F.col("c") % 4 * 60 + F.when(F.col("c") >= 4, 290).otherwise(0))
-    x0 = (across + F.when((F.col("r") % 6 == 0) & ~title, 12).otherwise(0)).cast("double")
-    parted = ((F.col("c") == 7) & (F.col("r") % 5 == 2)) | ((F.col("c") == 3) & (F.col("r") % 7 == 1))
-    text = F.when(parted, F.concat("w", F.lit("-"))).otherwise(F.col("w"))
-    body = own.select("doc_id", "page", (F.col("i") * 8).alias("word_seq"), text.alias("text"), x0.alias("x0"), (x0 + F.when(title, 60).otherwise(50)).alias("x1"), (60 + F.col("r") * 14 + F.col("c") % 2).cast("double").alias("top"), F.when(title, 14.0).otherwise(10.0).alias("size"))
-    pages = own.where("r = 0 AND c = 0").select("doc_id", "page", "i")
-    extra = [  # (offset, text, x0, width, top, size), only on some pages where the last is given
-        (1, F.lit("Running"), 50.0, 40.0, 30.0, 10.0, F.lit(True)),
-        (2, F.concat(F.lit("Head"), F.col("doc_id").cast("string")), 95.0, 40.0, 30.0, 10.0, F.lit(True)),
-        (3, F.lit("T"), 50.0, 20.0, 44.0, 30.0, F.col("page") % 3 == 1),
-        (4, (F.col("page") + 1).cast("string"), 300.0, 12.0, 464.0, 10.0, F.lit(True)),
-    ]
-    for offset, what, x, wide, top, size, on in extra:
-        body = body.unionByName(pages.where(on).select("doc_id", "page", (F.col("i") * 8 + offset).alias("word_seq"), what.alias("text"), F.lit(x).alias("x0"), F.lit(x + wide).alias("x1"), F.lit(top).alias("top"), F.lit(size).alias("size")))
-    return body.withColumn("page_width", F.lit(612.0))
+    """Pages of positioned words of every document; every third document has one column."""
+    kinds = [_places(single, odd) for single in (False, True) for odd in (False, True)]
+    kind = F.when(F.col("doc_id") % 3 == 0, 2).otherwise(0) + F.col("page") % 2
+    given = {n: F.array(*[F.lit([f(x) for x in places]) for places in kinds]) for n, f in (("top", lambda x: x[0]), ("x0", lambda x: x[1]), ("x1", lambda x: x[1] + x[2]), ("size", lambda x: x[3]), ("page_width", lambda x: 612.0))}
+    parted = [(k % 8 == 7 and k // 8 % 5 == 2) or (k % 8 == 3 and k // 8 % 7 == 1) for k in range(PER_PAGE)]
+    page = F.col("page")
+
+    def own(text):
+        first, n = page * PER_PAGE, F.size(text)
+        of = lambda values: F.slice(values, F.lit(1), n)
+        columns = {c: of(F.get(x, kind)) for c, x in given.items()} | {
+            "word_seq": F.transform(numbers(n, first), lambda i: i * 8),
+            "text": F.zip_with(text, of(F.lit(parted)), lambda w, p: F.when(p, F.concat(w, F.lit("-"))).otherwise(w)),
+        }
+        return F.arrays_zip(*[columns[c].alias(c) for c in FIELDS])
+
+    def extra(offset, text, x, wide, top, size):
+        values = {"page_width": F.lit(612.0), "top": F.lit(top), "x0": F.lit(x), "word_seq": page * PER_PAGE * 8 + offset, "x1": F.lit(x + wide), "size": F.lit(size), "text": text}
+        return F.struct(*[values[c].alias(c) for c in FIELDS])
+
+    always = F.array(
+        extra(1, F.lit("Running"), 50.0, 40.0, 30.0, 10.0), extra(2, F.concat(F.lit("Head"), F.col("doc_id").cast("string")), 95.0, 40.0, 30.0, 10.0), extra(4, (page + 1).cast("string"), 300.0, 12.0, 464.0, 10.0)
+    )
+    initial = F.array(extra(3, F.lit("T"), 50.0, 20.0, 44.0, 30.0))
+    every = F.concat(F.flatten(F.transform("texts", own)), F.when(page % 3 == 1, F.concat(always, initial)).otherwise(always))
+    return page_texts(spark, sf_dir, PER_PAGE).select("doc_id", "page", every.alias("words"))
 
 
 def page_columns(spark, sf_dir):
-    own = R.gutters(R.rows_of(page_words(spark, sf_dir)))
+    own = R.gutters(page_words(spark, sf_dir))
     return own.select("doc_id", "page", F.round("left", 6).alias("left_edge"), F.round("right", 6).alias("right_edge"))
 
 
 def reading_order(spark, sf_dir):
-    rows = settled(R.rows_of(page_words(spark, sf_dir)), "rows")
-    return R.assembled(rows, R.gutters(rows)).select("doc_id", "page", "line", "col", R.line_text(F.col("words")).alias("text"))
+    own = R.assembled(R.with_gutters(R.paged(page_words(spark, sf_dir))))
+    return own.select("doc_id", "page", "line", "col", R.line_text(F.col("words")).alias("text"))
 
 
 def page_edges(spark, sf_dir):
-    return R.edge_texts(R.rows_of(page_words(spark, sf_dir)))
+    return R.edge_texts(page_words(spark, sf_dir))
 
 
 def reading_lines(spark, sf_dir):
-    rows = settled(R.rows_of(page_words(spark, sf_dir)), "rows")
-    own = R.body_lines(rows, Y.body_size(rows))
+    pages = R.paged(page_words(spark, sf_dir))
+    own = R.body_lines(pages, R.body_size(pages))
     return own.select("doc_id", "page", "line", "col", R.line_text(F.col("words")).alias("text"))
 
 

@@ -21,6 +21,6 @@ def test_pages_and_words_give_the_same_lines(spark):
     assert got[0] == got[1] == [(1, 0, 0, 10.0, 50.0, 80.0, 11.0, "a b"), (1, 0, 1, 14.0, 50.0, 60.0, 9.0, "c"), (1, 1, 0, 5.0, 1.0, 2.0, 9.0, "d")]
 
 
-@pytest.mark.parametrize("name", ["page_folios", "pdf_lines", "dehyphenated", "running_edges", "line_gaps"])
+@pytest.mark.parametrize("name", ["page_folios", "pdf_lines", "dehyphenated", "running_edges", "line_gaps", "page_columns", "reading_order", "page_edges"])
 def test_texts_are_dealt_once(spark, name):
     assert len(re.findall(r"\bExchange hashpartitioning", plan(e.queries()[name](spark, SF)))) == 1
