@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ def strip(x: Column) -> Column:
     return F.regexp_replace(x, rf"^{WHITE}+|{WHITE}+$", "")
 
 
+def named(x: Column, of: Callable[[Column], Column]) -> Column:
+    """of(x), where x is computed once however often ``of`` reads it; inside of lambdas Spark computes an expression again for each of its uses."""
+    return F.get(F.transform(F.array(x), of), 0)
+
+
 def title_case(x: Column) -> Column:
     """Every run of letters with a capital first and small letters behind it."""
     runs = F.regexp_extract_all(x, F.lit(r"\p{L}+|\P{L}+"), F.lit(0))

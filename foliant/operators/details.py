@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.color import seed_int
-from foliant.functions.text import strip
+from foliant.functions.text import named, strip
 
 
 def split_once(x: Column, sep: str) -> tuple[Column, Column]:
@@ -80,12 +80,14 @@ def pipe_table(rows: Column) -> Column:
     """Lines of columns parted by tabs or three spaces as a pipe table, short rows filled up; null if there is no cell."""
     parts = lambda row: F.when(F.contains(row, F.lit("\t")), F.split(row, r"\t")).otherwise(F.split(row, r" {3,}"))
     cells = F.filter(F.transform(rows, lambda row: F.filter(F.transform(parts(row), strip), lambda c: c != "")), lambda r: F.size(r) > 0)
-    wide = F.array_max(F.transform(cells, F.size))
-    line = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(r, F.array_repeat(F.lit(""), wide - F.size(r))), " | "), F.lit(" |"))
-    lines = F.transform(cells, line)
-    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), wide), " | "), F.lit(" |"))
-    whole = F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, F.greatest(F.size(cells) - 1, F.lit(0)))), "\n")
-    return F.when(F.size(cells) > 0, whole)
+
+    def table(wide: Column, own: Column) -> Column:
+        rule = F.concat(F.lit("\n| "), F.array_join(F.array_repeat(F.lit("---"), wide), " | "), F.lit(" |"))
+        line = lambda r, k: F.concat(F.lit("| "), F.array_join(F.concat(r, F.array_repeat(F.lit(""), wide - F.size(r))), " | "), F.lit(" |"), F.when(k == 0, rule).otherwise(""))
+        return F.array_join(F.transform(own, line), "\n")
+
+    sized = named(cells, lambda own: F.struct(F.array_max(F.transform(own, F.size)).alias("wide"), own.alias("own")))
+    return named(sized, lambda t: F.when(F.size(t["own"]) > 0, table(t["wide"], t["own"])))
 
 
 def aligned_tables(texts: DataFrame) -> DataFrame:

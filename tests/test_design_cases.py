@@ -76,3 +76,11 @@ def test_block_html(spark):
     assert got[1] == '<div class="task-item importance-high"><label class="task-row "><input type="checkbox" disabled><span>do <em>it</em></span></label></div>'
     assert got[2] == '<figure class="figure"><img src="x.png" alt="a &lt; b" loading="lazy"></figure>'
     assert got[3] == "" and got[4] == '<p class="importance-med">x</p>' and got[5] == "<h6>h</h6>" and got[6] == "<ul><li>a</li><li>b</li></ul>"
+
+
+def test_cells_are_parsed_once(spark):
+    rows = spark.createDataFrame([(1, "\n".join(f"a{k}\tb" for k in range(2000)) + "\nx\ty\tz")], "doc_id int, text string")
+    own = D.aligned_tables(rows)
+    assert own.first()["markdown"].split("\n") == ["| a0 | b |  |", "| --- | --- | --- |"] + [f"| a{k} | b |  |" for k in range(1, 2000)] + ["| x | y | z |"]
+    # once by lines, and once by tabs or by spaces
+    assert own._jdf.queryExecution().optimizedPlan().toString().count("split(") == 3
