@@ -74,7 +74,7 @@ def plain_page_text(x: Column) -> Column:
 
 def normal_hex(x: Column) -> Column:
     """A colour with a leading # in upper case; three digits are doubled, other lengths stay as they are."""
-    own = strip(x)
+    own = F.trim(x, F.lit(" \t\n\x0b\f\r"))
     own = F.when(F.startswith(own, F.lit("#")), own).otherwise(F.concat(F.lit("#"), own))
     doubled = F.concat(F.lit("#"), *[F.repeat(F.substring(own, k, 1), 2) for k in (2, 3, 4)])
     return F.upper(F.when(F.length(own) == 4, doubled).otherwise(own))

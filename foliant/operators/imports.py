@@ -7,7 +7,7 @@ and of equal counts the value that comes first in the page wins.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.color import is_gray
@@ -170,20 +170,22 @@ def run_designs(runs: DataFrame, defaults: DataFrame | None = None) -> DataFrame
     runs of headings vote for the accent, greys left out; other runs vote for the text's colour. What the runs leave open
     comes from ``defaults`` (doc_id, h1_color, h1_font, text_color, text_font, accent1, dark1, light1, page_color), all of which may be null.
     """
-    large = F.bool_or(F.coalesce(F.col("bold") & (F.col("size") >= LARGE), F.lit(False)))
-    heads = runs.groupBy("doc_id", "par").agg((F.max(F.coalesce(F.contains(F.lower("style"), F.lit("heading")), F.lit(False))) | large).alias("head"))
-    own = runs.join(heads, ["doc_id", "par"]).withColumn("color", F.when(F.col("color").isNotNull(), normal_hex(F.col("color"))))
+    titled = F.coalesce(F.contains(F.lower("style"), F.lit("heading")), F.lit(False)) | F.coalesce(F.col("bold") & (F.col("size") >= LARGE), F.lit(False))
+    # ranked by document first: paragraphs, counts and winners then need no further exchange
+    own = runs.where("doc_id IS NOT NULL AND par IS NOT NULL").select("doc_id", "par", "pos", titled.alias("titled"), "color", "font", "highlight")
+    own = own.withColumn("at", F.rank().over(Window.partitionBy("doc_id").orderBy("par", "pos")))
+    own = own.withColumn("head", F.max("titled").over(Window.partitionBy("doc_id", "par"))).withColumn("color", normal_hex(F.col("color")))
     vote = lambda when, bucket, value: F.when(when, F.struct(F.lit(bucket).alias("bucket"), F.col(value).alias("value")))
-    votes = F.array(vote(F.col("head") & ~is_gray(F.col("color")), "accent", "color"), vote(~F.col("head"), "text", "color"), vote(F.col("head"), "font_heading", "font"), vote(~F.col("head"), "font_body", "font"), vote(F.lit(True), "highlight", "highlight"))
-    cast = own.select("doc_id", F.struct("par", "pos").alias("at"), F.explode(F.filter(votes, lambda x: F.coalesce(x["value"] != "", F.lit(False)))).alias("x"))
-    counted = cast.groupBy("doc_id", "x.bucket", "x.value").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    best = counted.groupBy("doc_id", "bucket").agg(F.max_by("value", F.struct("n", -F.col("first.par"), -F.col("first.pos"))).alias("value"))
-    won = best.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("v"))
+    votes = F.array(vote(~F.col("head"), "text", "color"), vote(F.col("head") & ~is_gray(F.col("color")), "accent", "color"), vote(F.col("head"), "font_heading", "font"), vote(~F.col("head"), "font_body", "font"), vote(F.lit(True), "highlight", "highlight"))
+    cast = own.select("doc_id", "at", F.inline(votes)).where("value <> ''")
+    counted = cast.groupBy("doc_id", "bucket", "value").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    most = lambda bucket: F.max(F.when(F.col("bucket") == bucket, F.struct("n", -F.col("first"), "value")))["value"]
+    won = counted.groupBy("doc_id").agg(*[most(b).alias(f"_{b}") for b in ("accent", "text", "font_heading", "font_body", "highlight")])
     all_docs = runs.select("doc_id").distinct() if defaults is None else runs.select("doc_id").unionByName(defaults.select("doc_id")).distinct()
     given = ("h1_color", "h1_font", "text_color", "text_font", "accent1", "dark1", "light1", "page_color")
     read = all_docs.join(won, "doc_id", "left")
     read = read.join(defaults.select("doc_id", *given), "doc_id", "left") if defaults is not None else read.select("*", *[F.lit(None).cast("string").alias(c) for c in given])
-    v = lambda bucket: F.element_at("v", bucket)
+    v = lambda bucket: F.col(f"_{bucket}")
     hexes = ("h1_color", "text_color", "accent1", "dark1", "light1", "page_color")
     read = read.withColumns({c: normal_hex(F.col(c)) for c in hexes})
     read = read.withColumns({c: F.when(~is_gray(F.col(c)), F.col(c)) for c in ("h1_color", "accent1")})
@@ -201,6 +203,8 @@ def run_designs(runs: DataFrame, defaults: DataFrame | None = None) -> DataFrame
 
 def as_rows(designs: DataFrame, *keys: str) -> DataFrame:
     """(keys, key, value): every property and every colour of an element that is set."""
-    parts = F.flatten(F.transform(F.map_entries("elements"), lambda e: F.array(F.struct(F.concat(e["key"], F.lit(".fg")).alias("key"), e["value"]["fg"].alias("value")), F.struct(F.concat(e["key"], F.lit(".bg")).alias("key"), e["value"]["bg"].alias("value")))))
-    rows = F.concat(F.map_entries("properties"), parts)
-    return designs.select(*keys, F.explode(rows).alias("x")).select(*keys, "x.key", "x.value").where("value IS NOT NULL")
+    row = lambda key, part, value: F.struct(key.alias("key"), F.lit(part).alias("part"), value.alias("value"))
+    props = F.transform(F.map_entries("properties"), lambda e: row(e["key"], "", e["value"]))
+    parts = F.flatten(F.transform(F.map_entries("elements"), lambda e: F.array(row(e["key"], ".fg", e["value"]["fg"]), row(e["key"], ".bg", e["value"]["bg"]))))
+    # keys are joined behind the explosion, as Spark compiles nothing inside of lambdas
+    return designs.select(*keys, F.inline(F.concat(props, parts))).where("value IS NOT NULL").select(*keys, F.concat("key", "part").alias("key"), "value")

@@ -111,3 +111,13 @@ def test_docx(spark):
     assert changed(d[2][0]) == {"color_accent": "#00AA00", "color_text": "#010203", "color_bg": "#FAF0E6", "font_heading": "Cinzel", "font_body": "Georgia"}
     assert changed(d[3][0]) == {"color_accent": "#4472C4", "color_text": "#010203", "color_bg": "#FAF0E6"}
     assert changed(d[4][0]) == changed(d[5][0]) == {} and d[4][1]["h1"] == (None, None)
+
+
+def test_runs_are_dealt_once_by_document(spark):
+    runs = spark.createDataFrame([(1, p, k, "Heading 1" if p == 2 else None, None, None, c, f, "") for p, k, c, f in [(1, 0, "#222", "Lora"), (1, 1, "333333", "Lora"), (2, 0, "C02020", "Karla"), (2, 1, " c02020 ", None), (2, 2, "2040C0", "Inter"), (3, 0, "333", None)]], docx_styles.RUNS)
+    got = I.run_designs(runs)
+    # one exchange for the runs, one for the list of documents
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    assert changed(design(got, "doc_id")[1][0]) == {"color_accent": "#C02020", "color_text": "#333333", "font_heading": "Karla", "font_body": "Lora"}
+    rows = {r["key"]: r["value"] for r in I.as_rows(got, "doc_id").collect()}
+    assert rows["h1.fg"] == "#C02020" and "h1.bg" not in rows and rows["font_mono"] == "monospace"
