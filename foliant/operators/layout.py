@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +53,30 @@ def by_rows(pages: DataFrame, tolerance: float) -> DataFrame:
     return own.withColumn("rows", F.transform("at", row)).drop("words", "tops", "starts", "at")
 
 
+#: The fields of a line.
+LINE = ("line", "top", "x0", "x1", "size", "text")
+
+
+def _line(fields: tuple[str, ...]) -> Callable[[Column, Column], Column]:
+    """A row's words and its number as a line of these fields."""
+
+    def line(r: Column, i: Column) -> Column:
+        text = F.array_join(F.transform(F.array_sort(F.transform(r, lambda w: F.struct(w["x0"], w["word_seq"], w["text"]))), lambda w: w["text"]), " ")
+        every = {"line": i, "top": F.array_min(r["top"]), "x0": F.array_min(r["x0"]), "x1": F.array_max(r["x1"]), "size": F.array_max(r["size"]), "text": text}
+        return F.struct(*[every[f].alias(f) for f in fields])
+
+    return line
+
+
+def page_lines(words: DataFrame, tolerance: float = 3.0, fields: tuple[str, ...] = LINE, ends: bool = False) -> DataFrame:
+    """(doc_id, page, lines): the lines of visual_lines, top to bottom, as one array a page; of these fields only, or only the first and the last line."""
+    rows, line = by_rows(pages_of(words), tolerance), _line(fields)
+    last = F.size("rows") - 1
+    at = F.when(last > 0, F.array(F.lit(0), last)).when(last == 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    lines = F.transform(at, lambda i: line(F.get("rows", i), i)) if ends else F.transform("rows", line)
+    return rows.select("doc_id", "page", lines.alias("lines"))
+
+
 def visual_lines(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
     """(doc_id, page, line, top, x0, x1, size, text): words of about one height, left to right.
 
@@ -58,20 +84,20 @@ def visual_lines(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
     before, so words that drift down do not chain. Words are rows or pages; a page's words,
     which its size bounds, are parted inside of its row.
     """
-    rows = by_rows(pages_of(words), tolerance)
-
-    def line(r: Column, i: Column) -> Column:
-        text = F.array_join(F.transform(F.array_sort(F.transform(r, lambda w: F.struct(w["x0"], w["word_seq"], w["text"]))), lambda w: w["text"]), " ")
-        return F.struct(i.alias("line"), F.array_min(r["top"]).alias("top"), F.array_min(r["x0"]).alias("x0"), F.array_max(r["x1"]).alias("x1"), F.array_max(r["size"]).alias("size"), text.alias("text"))
-
-    return rows.select("doc_id", "page", F.inline(F.transform("rows", line)))
+    return by_rows(pages_of(words), tolerance).select("doc_id", "page", F.inline(F.transform("rows", _line(LINE))))
 
 
 def running_edges(lines: DataFrame, least_pages: int = 4) -> DataFrame:
-    """(doc_id, edge, text): first or last lines that repeat on 3 pages and 40 % of them at least."""
-    ends = lines.groupBy("doc_id", "page").agg(F.min_by("text", "line").alias("first"), F.max_by("text", "line").alias("last"))
-    both = ends.select("doc_id", F.explode(F.array(*[F.struct(F.lit(e).alias("edge"), F.col(e).alias("text")) for e in ("first", "last")])).alias("e")).select("doc_id", "e.*")
-    counts = both.groupBy("doc_id", "edge", "text").agg(F.count("*").alias("n"))
+    """(doc_id, edge, text): first or last lines that repeat on 3 pages and 40 % of them at least; lines are rows or pages of page_lines."""
+    both = lambda first, last: F.array(*[F.struct(F.lit(e).alias("edge"), x.alias("text")) for e, x in (("first", first), ("last", last))])
+    if "lines" in lines.columns:
+        # a filter of rows would be pushed below the lines and make them a second time
+        edges = F.filter(both(F.get("lines.text", F.lit(0)), F.get("lines.text", F.size("lines") - 1)), lambda _: F.size("lines") > 0)
+    else:
+        lines = lines.groupBy("doc_id", "page").agg(F.min_by("text", "line").alias("first"), F.max_by("text", "line").alias("last"))
+        edges = both(F.col("first"), F.col("last"))
+    own = lines.select("doc_id", F.explode(edges).alias("e")).select("doc_id", "e.*")
+    counts = own.groupBy("doc_id", "edge", "text").agg(F.count("*").alias("n"))
     # each page has one text for each edge, so the counts of an edge are its pages
     best = counts.groupBy("doc_id", "edge").agg(F.sum("n").alias("pages"), F.max_by(F.struct("text", "n"), F.struct("n", "text")).alias("b"))
     return best.where((F.col("pages") >= least_pages) & (F.col("b.n") >= F.greatest(F.lit(3.0), F.col("pages") * 0.4))).select("doc_id", "edge", "b.text")
