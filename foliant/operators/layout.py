@@ -140,8 +140,10 @@ def left_margin(lines: DataFrame, tolerance: float = 3.0) -> DataFrame:
     """(doc_id, margin): the smallest of the three commonest left edges that have 20 % of the largest one's lines.
 
     Rounded edges within the tolerance of the first of their cluster count as one edge, named
-    by that first one; of equally common edges the smaller comes first.
+    by that first one; of equally common edges the smaller comes first. Lines are rows or pages of page_lines.
     """
+    if "lines" in lines.columns:
+        lines = lines.select("doc_id", F.explode("lines.x0").alias("x0"))
     by = lines.groupBy("doc_id", F.bround("x0").alias("x0")).agg(F.count("*").alias("n"))
     edges = by.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("x0", "n"))).alias("edges"))
     named = F.arrays_zip(F.col("edges.n").alias("n"), _starts(F.col("edges.x0"), tolerance).alias("margin"))
