@@ -104,12 +104,19 @@ def running_edges(lines: DataFrame, least_pages: int = 4) -> DataFrame:
 
 
 def median_gap(lines: DataFrame) -> DataFrame:
-    """(doc_id, gap): the upper median of positive distances between lines of a page."""
-    w = Window.partitionBy("doc_id", "page").orderBy("line")
-    gaps = lines.withColumn("gap", F.col("top") - F.lag("top").over(w)).where("gap > 0")
-    place = Window.partitionBy("doc_id").orderBy("gap", "page", "line")
-    own = gaps.withColumns({"k": F.row_number().over(place) - 1, "n": F.count("*").over(Window.partitionBy("doc_id"))})
-    return own.where(F.col("k") == F.floor(F.col("n") / 2)).select("doc_id", "gap")
+    """(doc_id, gap): the upper median of positive distances between lines of a page; lines are rows or pages of page_lines.
+
+    Equal distances are counted first, so that only a document's different ones are sorted.
+    """
+    if "lines" in lines.columns:
+        tops = F.col("lines.top")
+        gaps = lines.select("doc_id", F.explode(F.zip_with(F.slice(tops, F.lit(2), F.size(tops)), tops, lambda t, before: t - before)).alias("gap"))
+    else:
+        gaps = lines.select("doc_id", (F.col("top") - F.lag("top").over(Window.partitionBy("doc_id", "page").orderBy("line"))).alias("gap"))
+    counts = gaps.where("gap > 0").groupBy("doc_id", "gap").agg(F.count("*").alias("n"))
+    doc = Window.partitionBy("doc_id")
+    own = counts.withColumns({"upto": F.sum("n").over(doc.orderBy("gap").rowsBetween(Window.unboundedPreceding, 0)), "k": F.floor(F.sum("n").over(doc) / 2)})
+    return own.where((F.col("upto") - F.col("n") <= F.col("k")) & (F.col("k") < F.col("upto"))).select("doc_id", "gap")
 
 
 def gutter(words: DataFrame, lines_tolerance: float = 3.0, bins: int = 200) -> DataFrame:
