@@ -45,11 +45,14 @@ def row_starts(tops: Column, tolerance: float) -> Column:
     return F.aggregate(tops, F.slice(tops, 1, 1), lambda acc, t: F.when(t - F.element_at(acc, -1) > tolerance, F.array_append(acc, t)).otherwise(acc))
 
 
-def by_rows(pages: DataFrame, tolerance: float) -> DataFrame:
-    """pages with ``rows``: the words parted by height, top to bottom. Words are sorted by height, so that a row is a slice."""
-    own = pages.withColumn("words", F.array_sort("words")).withColumn("tops", F.col("words.top"))
+def by_rows(pages: DataFrame, tolerance: float, word: Callable[[Column], Column] = lambda w: w) -> DataFrame:
+    """pages with ``rows``: the words parted by height, top to bottom, each as ``word`` gives it.
+
+    Words are sorted by height, so that a row is a run of them. It is read word by word, as slice() copies the whole page for each row.
+    """
+    own = pages.withColumn("words", F.sort_array("words")).withColumn("tops", F.col("words.top"))
     own = own.withColumn("starts", row_starts(F.array_distinct("tops"), tolerance)).withColumn("at", F.transform("starts", lambda t: F.array_position("tops", t).cast("int")))
-    row = lambda k, i: F.slice("words", k, F.coalesce(F.get("at", i + 1), F.size("words") + 1) - k)
+    row = lambda k, i: F.transform(F.sequence(k - 1, F.coalesce(F.get("at", i + 1), F.size("words") + 1) - 2), lambda j: word(F.get("words", j)))
     return own.withColumn("rows", F.transform("at", row)).drop("words", "tops", "starts", "at")
 
 
@@ -61,7 +64,7 @@ def _line(fields: tuple[str, ...]) -> Callable[[Column, Column], Column]:
     """A row's words and its number as a line of these fields."""
 
     def line(r: Column, i: Column) -> Column:
-        text = F.array_join(F.transform(F.array_sort(F.transform(r, lambda w: F.struct(w["x0"], w["word_seq"], w["text"]))), lambda w: w["text"]), " ")
+        text = F.array_join(F.transform(F.sort_array(F.transform(r, lambda w: F.struct(w["x0"], w["word_seq"], w["text"]))), lambda w: w["text"]), " ")
         every = {"line": i, "top": F.array_min(r["top"]), "x0": F.array_min(r["x0"]), "x1": F.array_max(r["x1"]), "size": F.array_max(r["size"]), "text": text}
         return F.struct(*[every[f].alias(f) for f in fields])
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from foliant.operators import layout as Y
 from foliant.operators import reading as R
-from foliant.plans.design_queries import numbers, page_texts
+from foliant.plans.design_queries import page_texts
 
 PER_ROW, PER_PAGE = 8, 208
 FIELDS = (*Y.WORD, "page_width")
@@ -32,18 +32,17 @@ def page_words(spark, sf_dir):
     """Pages of positioned words of every document; every third document has one column."""
     kinds = [_places(single, odd) for single in (False, True) for odd in (False, True)]
     kind = F.when(F.col("doc_id") % 3 == 0, 2).otherwise(0) + F.col("page") % 2
-    given = {n: F.array(*[F.lit([f(x) for x in places]) for places in kinds]) for n, f in (("top", lambda x: x[0]), ("x0", lambda x: x[1]), ("x1", lambda x: x[1] + x[2]), ("size", lambda x: x[3]), ("page_width", lambda x: 612.0))}
+    given = {n: F.array(*[F.lit([f(x) for x in places]) for places in kinds]) for n, f in (("top", lambda x: x[0]), ("x0", lambda x: x[1]), ("x1", lambda x: x[1] + x[2]), ("size", lambda x: x[3]))}
     parted = [(k % 8 == 7 and k // 8 % 5 == 2) or (k % 8 == 3 and k // 8 % 7 == 1) for k in range(PER_PAGE)]
     page = F.col("page")
 
-    def own(text):
-        first, n = page * PER_PAGE, F.size(text)
-        of = lambda values: F.slice(values, F.lit(1), n)
-        columns = {c: of(F.get(x, kind)) for c, x in given.items()} | {
-            "word_seq": F.transform(numbers(n, first), lambda i: i * 8),
-            "text": F.zip_with(text, of(F.lit(parted)), lambda w, p: F.when(p, F.concat(w, F.lit("-"))).otherwise(w)),
+    def word(w, i):
+        columns = {c: F.get(F.get(x, kind), i) for c, x in given.items()} | {
+            "page_width": F.lit(612.0),
+            "word_seq": (page * PER_PAGE + i) * 8,
+            "text": F.when(F.get(F.lit(parted), i), F.concat(w, F.lit("-"))).otherwise(w),
         }
-        return F.arrays_zip(*[columns[c].alias(c) for c in FIELDS])
+        return F.struct(*[columns[c].alias(c) for c in FIELDS])
 
     def extra(offset, text, x, wide, top, size):
         values = {"page_width": F.lit(612.0), "top": F.lit(top), "x0": F.lit(x), "word_seq": page * PER_PAGE * 8 + offset, "x1": F.lit(x + wide), "size": F.lit(size), "text": text}
@@ -53,7 +52,7 @@ def page_words(spark, sf_dir):
         extra(1, F.lit("Running"), 50.0, 40.0, 30.0, 10.0), extra(2, F.concat(F.lit("Head"), F.col("doc_id").cast("string")), 95.0, 40.0, 30.0, 10.0), extra(4, (page + 1).cast("string"), 300.0, 12.0, 464.0, 10.0)
     )
     initial = F.array(extra(3, F.lit("T"), 50.0, 20.0, 44.0, 30.0))
-    every = F.concat(F.flatten(F.transform("texts", own)), F.when(page % 3 == 1, F.concat(always, initial)).otherwise(always))
+    every = F.concat(F.flatten(F.transform("texts", lambda text: F.transform(text, word))), F.when(page % 3 == 1, F.concat(always, initial)).otherwise(always))
     return page_texts(spark, sf_dir, PER_PAGE).select("doc_id", "page", every.alias("words"))
 
 
@@ -72,8 +71,7 @@ def page_edges(spark, sf_dir):
 
 
 def reading_lines(spark, sf_dir):
-    pages = R.paged(page_words(spark, sf_dir))
-    own = R.body_lines(pages, R.body_size(pages))
+    own = R.body_lines(R.paged(page_words(spark, sf_dir)))
     return own.select("doc_id", "page", "line", "col", R.line_text(F.col("words")).alias("text"))
 
 

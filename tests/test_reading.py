@@ -125,3 +125,11 @@ def test_rows_do_not_chain(spark):
 
 def test_no_words(spark):
     assert R.markdown(table(spark, Book().lines("x")).where("false")).collect() == []
+
+
+def test_lines_are_made_in_one_pass(spark):
+    """The pages of words are read once, without a join, and a filter repeats none of their expressions."""
+    words = table(spark, *[b for b, _ in CASES.values()])
+    plan = R.body_lines(R.paged(words))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and "Join" not in plan
+    assert "array_sort" not in plan and not any("sort_array" in line for line in plan.splitlines() if "Filter " in line)
