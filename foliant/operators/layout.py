@@ -45,15 +45,15 @@ def row_starts(tops: Column, tolerance: float) -> Column:
     return F.aggregate(tops, F.slice(tops, 1, 1), lambda acc, t: F.when(t - F.element_at(acc, -1) > tolerance, F.array_append(acc, t)).otherwise(acc))
 
 
-def by_rows(pages: DataFrame, tolerance: float, word: Callable[[Column], Column] = lambda w: w) -> DataFrame:
-    """pages with ``rows``: the words parted by height, top to bottom, each as ``word`` gives it.
+def by_rows(pages: DataFrame, tolerance: float, row: Callable[[Column, Callable], Column] = F.transform) -> DataFrame:
+    """pages with ``rows``: the words parted by height, top to bottom, each row as ``row`` makes it of places and the word at a place.
 
     Words are sorted by height, so that a row is a run of them. It is read word by word, as slice() copies the whole page for each row.
     """
     own = pages.withColumn("words", F.sort_array("words")).withColumn("tops", F.col("words.top"))
     own = own.withColumn("starts", row_starts(F.array_distinct("tops"), tolerance)).withColumn("at", F.transform("starts", lambda t: F.array_position("tops", t).cast("int")))
-    row = lambda k, i: F.transform(F.sequence(k - 1, F.coalesce(F.get("at", i + 1), F.size("words") + 1) - 2), lambda j: word(F.get("words", j)))
-    return own.withColumn("rows", F.transform("at", row)).drop("words", "tops", "starts", "at")
+    places = lambda k, i: F.sequence(k - 1, F.coalesce(F.get("at", i + 1), F.size("words") + 1) - 2)
+    return own.withColumn("rows", F.transform("at", lambda k, i: row(places(k, i), lambda j: F.get("words", j)))).drop("words", "tops", "starts", "at")
 
 
 #: The fields of a line.

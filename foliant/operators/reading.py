@@ -37,8 +37,9 @@ def paged(words: DataFrame, tolerance: float = ROW_TOLERANCE) -> DataFrame:
     if "rows" in words.columns:
         return words
     pages = Y.pages_of(words, "page_width").select(*PAGE, F.array_max("words.page_width").alias("page_width"), "words")
-    own = Y.by_rows(pages, tolerance, lambda w: F.struct(*[w[c].alias(c) for c in ("x0", "top", "word_seq", "text", "size", "x1")]))
-    return own.select(*PAGE, "page_width", F.transform("rows", lambda r: F.sort_array(r)).alias("rows"))
+    word = lambda w: F.struct(*[w[c].alias(c) for c in ("x0", "top", "word_seq", "text", "size", "x1")])
+    # sorted where a row is made, as each transform copies its words
+    return Y.by_rows(pages, tolerance, lambda places, at: F.sort_array(F.transform(places, lambda j: word(at(j))))).select(*PAGE, "page_width", "rows")
 
 
 def rows_of(words: DataFrame, tolerance: float = ROW_TOLERANCE) -> DataFrame:
